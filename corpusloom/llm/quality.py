@@ -23,11 +23,12 @@ RULES = ("too_few_words", "repeated_windows", "symbol_heavy", "duplicate_lines",
 #: Policy versions and the rules that each enforces. "base" is the contract's base.
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
-    "v1": RULES,
+    "v1": ("too_few_words", "repeated_windows", "symbol_heavy", "word_length"),
+    "strict": RULES,
 }
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MAX_SYMBOLS_PER_100_WORDS = 30
+MAX_SYMBOLS_PER_100_WORDS = 20
 MAX_DUP_LINES_PERCENT = 30
 WORD_CHARS = (2, 20)
 WINDOW = 5
