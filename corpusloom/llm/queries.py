@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, tokens, toxicity
+from . import bpe, mixing, packing, pii, quality, tokens, toxicity
 from .io import table
 
 
@@ -21,6 +21,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.with_lengths(docs, tokens.default_ranks()))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_replaced")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokens.default_ranks())
 
@@ -34,11 +39,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.in_order(mixing.schedule(table(spark, sf_dir, "documents")), "first_position")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position", "second_position")
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {}
