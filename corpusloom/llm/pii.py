@@ -38,12 +38,19 @@ PHONE = r"(?<![\d-])(?:\+1 ?\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 ADDRESS = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
 CARD = r"(?<!\d)(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{4} \d{4} \d{4})(?!\d)"
+#: What every text with a match of ANY has, in patterns that fail fast on prose.
+LIKELY = (r"[0-9A-Fa-f]{32}", r"\d[\d ./()-]{5,}\d")
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, DATE, PHONE, SOCIAL, ADDRESS, CARD))
 
 #: Days from 1970-01-01 to 1800-01-01, and the residues whose product is 400 years.
 FIRST_DAY, RESIDUES = -62091, (189, 773)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def keyed(key: str, *parts: Column | str) -> Column:
     """SHA-256 of the key and the parts, in hexadecimal."""
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *(p if isinstance(p, Column) else F.lit(p) for p in parts)), 256)
@@ -76,20 +83,27 @@ def digits_only(value: Column) -> Column:
 
 def permute_digits(key: str, kind: str, digits: Column) -> Column:
     """A keyed permutation of digit strings of one length (2 to 20)."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
     size = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    left, right = F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, n)
-    pair = feistel(key, F.concat(F.lit(kind), n.cast("string")), left.cast("long"), right.cast("long"), size(a), size(n - a))
-    return F.concat(F.lpad(pair["left"].cast("string"), a, F.lit("0")), F.lpad(pair["right"].cast("string"), n - a, F.lit("0")))
+
+    def permuted(parts: Column) -> Column:
+        d, n, a = parts["digits"], parts["n"], parts["a"]
+        left, right = F.substring(d, F.lit(1), a), F.substring(d, a + 1, n)
+        pair = feistel(key, F.concat(F.lit(kind), n.cast("string")), left.cast("long"), right.cast("long"), size(a), size(n - a))
+        return let(pair, lambda p: F.concat(F.lpad(p["left"].cast("string"), a, F.lit("0")), F.lpad(p["right"].cast("string"), n - a, F.lit("0"))))
+
+    n = F.length(digits)
+    return let(F.struct(digits.alias("digits"), n.alias("n"), F.floor(n / 2).cast("int").alias("a")), permuted)
 
 
 def refill(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced, in order, by ``digits``."""
     one = lambda i: F.substring(value, i, F.lit(1))
     nth = lambda i: F.length(digits_only(F.substring(value, F.lit(1), i)))
-    cells = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(one(i).between("0", "9"), F.substring(digits, nth(i), F.lit(1))).otherwise(one(i)))
-    return F.array_join(cells, "")
+
+    def filled(d: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(one(i).between("0", "9"), F.substring(d, nth(i), F.lit(1))).otherwise(one(i))), "")
+
+    return let(digits, filled)
 
 
 def luhn_sum(digits: Column, odd: int) -> Column:
@@ -109,27 +123,30 @@ def pseudonym(key: str, value: Column) -> Column:
     whole = lambda p: value.rlike(f"^(?:{p})$")
     digits = digits_only(value)
     body = permute_digits(key, "card", F.substring(digits, F.lit(1), F.length(digits) - 1))
-    card = refill(value, F.concat(body, F.pmod(-luhn_sum(body, 1), F.lit(10)).cast("string")))
+    card = refill(value, let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(b, 1), F.lit(10)).cast("string"))))
     octets = F.transform(F.split(value, r"\."), lambda o: o.cast("int"))
-    pair = feistel(key, "address", octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65536), F.lit(65536))
-    address = F.concat_ws(".", *(x.cast("string") for half in (pair["left"], pair["right"]) for x in (F.shiftright(half.cast("int"), 8), half % 256)))
+    spread = lambda pair: F.concat_ws(".", *(x.cast("string") for half in (pair["left"], pair["right"]) for x in (F.shiftright(half.cast("int"), 8), half % 256)))
+    address = let(octets, lambda o: let(feistel(key, "address", o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536)), spread))
     iso = F.substring(value, 5, 1) == "-"
-    when = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))).cast("date")
-    day = F.unix_date(when) - FIRST_DAY
+    read = F.when(iso, F.try_to_timestamp(value, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))).cast("date")
     u, v = RESIDUES
-    moved = feistel(key, "date", F.floor(day / v), day % v, F.lit(u), F.lit(v))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), (moved["left"] * v + moved["right"] + FIRST_DAY).cast("int"))
+
+    def moved(day: Column) -> Column:
+        pair = feistel(key, "date", F.floor(day / v), day % v, F.lit(u), F.lit(v))
+        date = let(pair, lambda p: F.date_add(F.lit("1970-01-01").cast("date"), (p["left"] * v + p["right"] + FIRST_DAY).cast("int")))
+        return F.when(day.between(0, u * v - 1), let(date, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy"))))
+
     name = keyed(key, "mail", F.lower(value))
     secret = F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.length(value) / 64).cast("int") - 1), lambda i: keyed(key, "secret", F.lower(value), i.cast("string"))), "")
     secret = F.substring(secret, F.lit(1), F.length(value))
     return (
-        F.when(value.contains("@"), F.concat(F.lit("u"), F.substring(name, 1, 12), F.lit("@m"), F.substring(name, 13, 8), F.lit(".invalid")))
-        .when(whole(DATE), F.when(day.between(0, u * v - 1), F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(F.date_format(date, "dd/MM/yyyy"))))
+        F.when(value.contains("@"), let(name, lambda n: F.concat(F.lit("u"), F.substring(n, 1, 12), F.lit("@m"), F.substring(n, 13, 8), F.lit(".invalid"))))
+        .when(whole(DATE), let(F.unix_date(read) - FIRST_DAY, moved))
         .when(whole(ADDRESS), F.when(F.forall(octets, lambda o: o <= 255), address))
         .when(whole(SOCIAL), F.when(~value.rlike("^000|-00-|-0000$"), refill(value, permute_digits(key, "social", digits))))
         .when(whole(PHONE), F.when(value.startswith("+"), refill(value, F.concat(F.lit("1"), permute_digits(key, "phone", F.substring(digits, 2, 10))))).otherwise(refill(value, permute_digits(key, "phone", digits))))
         .when(whole(CARD), F.when(luhn_sum(digits, 0) % 10 == 0, card))
-        .otherwise(F.when(value == F.upper(value), F.upper(secret)).otherwise(secret))
+        .otherwise(let(secret, lambda s: F.when(value == F.upper(value), F.upper(s)).otherwise(s)))
     )
 
 
@@ -140,7 +157,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, count: str | None = No
     a match are passed through. No shuffle."""
     text = F.col("text")
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), pseudonym(key, m).alias("to")))
-    hit = F.coalesce(text.rlike(ANY), F.lit(False))
+    hit = F.coalesce(text.contains("@") | text.rlike(LIKELY[0]) | text.rlike(LIKELY[1]), F.lit(False))
     rows = docs.withColumn("__found", F.when(hit, found))
     filled = F.concat(F.transform(F.col("__found"), lambda m: F.coalesce(m["to"], m["value"])), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), filled, lambda between, value: F.concat(between, value)), "")
