@@ -2,8 +2,8 @@
 
 Training: a bounded sample of labelled rows (``SAMPLE_ROWS``, the smallest by hash of
 doc_id) is dealt to shards of at most about ``SHARD_ROWS`` rows. Each shard runs FTRL-proximal over its rows
-with a rate per coordinate; after every epoch the shards' coordinates are averaged, with
-every shard's gradient mass, and passed on. L1 leaves few non-zero weights: the model is
+with a rate per coordinate; then each coordinate is averaged over the shards that met it
+(parameter mixing). L1 leaves few non-zero weights: the model is
 a sparse table of at most 2**BITS rows, small enough to broadcast.
 
 Features of a text: its lower-case words, word pairs, and pairs that skip one
@@ -28,7 +28,7 @@ from . import kern
 from .io import cut
 
 BITS = 20
-SAMPLE_ROWS = 48_000
+SAMPLE_ROWS = 36_000
 #: Rows of a shard at most, so that one task's features stay under 100 MB on usual texts.
 SHARD_ROWS = 12_000
 EPOCHS = 2
@@ -107,39 +107,21 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(coords, pa.list_(pa.int32()))], ["doc_id", "label", "shard", "coords"])
 
     rows = training_rows(docs, labels, usable).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "shard", "text")
-    rows = cut(rows.mapInArrow(featurise, "doc_id long, label int, shard int, coords array<int>"))
+    rows = rows.mapInArrow(featurise, "doc_id long, label int, shard int, coords array<int>")
 
-    def epoch(data: pd.DataFrame, model: pd.DataFrame, turn: int) -> pd.DataFrame:
+    def learn_shard(data: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        z[model["feature"]], n[model["feature"]] = model["z"], model["n"]
-        before = n.copy()
         own = data.sort_values(["doc_id", "label"])
         items = [(np.asarray(c), int(y)) for c, y in zip(own["coords"], own["label"], strict=True)]
-        np.random.default_rng(turn).shuffle(items)
-        learn(items, z, n)
+        for turn in range(EPOCHS):
+            np.random.default_rng(turn).shuffle(items)
+            learn(items, z, n)
         hit = np.flatnonzero(n)
-        return pd.DataFrame({"feature": hit.astype(np.int32), "z": z[hit], "n": n[hit], "seen": (n[hit] > before[hit]).astype(np.float64)})
-
-    def first(data: pd.DataFrame) -> pd.DataFrame:
-        return epoch(data, pd.DataFrame({"feature": np.zeros(0, int), "z": np.zeros(0), "n": np.zeros(0)}), 0)
-
-    def later(turn: int):
-        return lambda data, own: epoch(data, own, turn)
-
-    model = None
-    shards = rows.select((F.col("shard") + 0).alias("shard")).distinct()  # SAMPLE_ROWS / SHARD_ROWS rows at most
-    for turn in range(EPOCHS):
-        if model is None:
-            state = rows.groupBy("shard").applyInPandas(first, MODEL + ", seen double")
-        else:
-            copies = model.crossJoin(F.broadcast(shards))  # the bounded model, once a shard
-            state = rows.groupBy("shard").cogroup(copies.groupBy("shard")).applyInPandas(later(turn), MODEL + ", seen double")
-        # a coordinate is averaged over the shards that met it
-        seen = F.greatest(F.sum("seen"), F.lit(1.0))
-        mean = lambda c: (F.sum(F.when(F.col("seen") > 0, F.col(c)).otherwise(0.0)) / seen)
-        kept = lambda c: F.when(F.sum("seen") > 0, mean(c)).otherwise(F.max(c)).alias(c)
-        model = cut(state.groupBy("feature").agg(kept("z"), kept("n")))
-    return model
+        return pd.DataFrame({"feature": hit.astype(np.int32), "z": z[hit], "n": n[hit]})
+
+    # a coordinate is averaged over the shards that met it
+    shards = rows.groupBy("shard").applyInPandas(learn_shard, MODEL)
+    return cut(shards.groupBy("feature").agg(F.avg("z").alias("z"), F.avg("n").alias("n")))
 
 
 def compact(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
