@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, pii, quality, tokens, toxicity
+from . import ann, bpe, mixing, packing, pii, quality, tokens, toxicity
 from .io import table
 
 
@@ -44,6 +44,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "first_position", "second_position")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
@@ -52,5 +57,6 @@ QUERIES = {
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
+    "op10_ann": op10_ann,
 }
 ORACLES: dict[str, str] = {}
