@@ -94,7 +94,7 @@ def schedule(docs: DataFrame) -> DataFrame:
 
 def in_order(rows: DataFrame, at: str) -> DataFrame:
     """Range-sorts rows by position; those without one come last."""
-    key = F.coalesce(F.col(at), F.lit(2.0))
+    key = F.struct(F.coalesce(F.col(at), F.lit(2.0)), F.xxhash64("doc_id"))  # the hash spreads those without
     return rows.withColumn("__at", key).repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
 
 
@@ -120,7 +120,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = joined.select(*names, "__size", F.explode(takes).alias("__take"))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__take.words").cast("int")), "")
     text = F.when(F.col("__take.words") < F.col("__size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("__at", F.col("__take.position"))
+    rows = rows.withColumn("text", text).withColumn("__at", F.struct("__take.position", F.xxhash64("doc_id")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("__take.words") < F.col("__size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     rows = rows.repartitionByRange("__at").sortWithinPartitions("__at")
