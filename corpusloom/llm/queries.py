@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, mixing, packing, pii, quality, tokens, toxicity
+from . import ann, bpe, jaccard, mixing, packing, pii, quality, tokens, toxicity
 from .io import table
 
 
@@ -21,6 +21,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.with_lengths(docs, tokens.default_ranks()))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, count="n_replaced")
@@ -52,6 +57,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
