@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, packing, pii, quality, tokens, toxicity
+from . import ann, bpe, jaccard, mixing, packing, pii, quality, suffixes, tokens, toxicity
 from .io import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
@@ -55,6 +59,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
