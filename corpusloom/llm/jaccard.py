@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import kern
 from .graphs import components
@@ -349,7 +350,7 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
             cls = [identity(items)[0] if len(items) else None for items in (shingle_set(b, rule.words) for b in kern.byte_rows(batch.column(place)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, "__cls"])
 
-    tagged = docs.mapInArrow(rows, docs.schema.add("__cls", "long"))
+    tagged = docs.mapInArrow(rows, StructType([*docs.schema.fields, StructField("__cls", LongType())]))
     inside = (F.col("__cls") == F.col("__chosen")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
     one = tagged.where("__cls is not null").join(chosen, inside, "left_semi").dropDuplicates(["__cls", "doc_id"])
     return tagged.where("__cls is null").unionAll(one).select(*docs.columns)
