@@ -188,16 +188,22 @@ def next_ranks(docs: DataFrame, items: DataFrame, cell: int) -> DataFrame:
 def settle(items: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     """Repeated spans (cls, start, end) known from these ranks, and the items still open.
 
-    Items of a unique rank drop out. A repeated union settles its range, but stays as a
-    partner while any item of its rank is open."""
+    Items of a unique rank drop out. A repeated union settles its range for all that share
+    it; one of them stays as a partner while any item of the rank is open."""
     counts = items.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"))
     lone = F.col("whole").isNull() | (F.col("c") < 2)
     ranks = counts.groupBy("core").agg(F.sum("c").alias("n"), F.max(lone).alias("open")).where("n > 1").select("core", "open")
     alive = cut(items.join(ranks, "core"))
-    twice = alive.where("whole is not null").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core", "whole")
-    done = alive if last else alive.join(twice, ["core", "whole"], "left_semi")
-    spans = done.select("cls", (F.col("anchor") - F.col("far")).alias("start"), (F.col("anchor") - F.col("near") + LENGTH).alias("end"))
-    return spans, alive.where("open").select("core", "whole", "cls", "anchor", "near", "far")
+    span = lambda rows: rows.select("cls", (F.col("anchor") - F.col("far")).alias("start"), (F.col("anchor") - F.col("near") + LENGTH).alias("end"))
+    if last:
+        return span(alive), alive.limit(0)
+    place = ("cls", "anchor", "near", "far")
+    twice = alive.where("whole is not null").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"), F.min(F.struct(*place)).alias("one")).where("c > 1")
+    twice = cut(twice)
+    keys = twice.select("core", "whole")
+    partners = twice.where("open").select("one.*")
+    open_ = alive.where("open").join(keys, ["core", "whole"], "left_anti").select(*place)
+    return span(alive.join(keys, ["core", "whole"], "left_semi")), cut(open_.unionAll(partners))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
