@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .plans import catalog
+
 FLAGSHIP = "incremental_plan"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = catalog.QUERIES
+ORACLES: dict[str, str] = catalog.ORACLES
