@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import documents, files, graph, modules, navigation, snapshot, translation
+from ..operators import docstrings, documents, files, graph, modules, navigation, projects, snapshot, translation
+from ..sources import sinks
 from ..sources.fixtures import duck, fixture
+from ..streaming.changes import batch_changes
 from . import incremental
 
 QUERIES: dict = {}
@@ -631,3 +633,74 @@ def docs_dep_changed(spark, d):
 @query(FULL_PLAN + "SELECT reason, count(*) AS n_docs, min(doc_path) AS first_doc FROM af GROUP BY reason")
 def affected_by_reason(spark, d):
     return incremental.by_reason(planned(spark, d).affected)
+
+
+# -- projects ---------------------------------------------------------------
+
+
+def project_query(name: str, operator, sql: str) -> None:
+    def run(spark, d):
+        return operator(fixture(spark, d, "project_files"))
+
+    run.__name__ = name
+    query(duck("project_files") + sql)(run)
+
+
+def case(column: str, **by_path: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k.replace('__', '.')}' THEN '{v}'" for k, v in by_path.items()) + " END"
+
+
+OF = case("path", package__json="javascript", pyproject__toml="python", go__mod="go", Cargo__toml="rust", app__csproj="dotnet")
+project_query("detect_languages", projects.languages, f" SELECT DISTINCT project, {OF} AS language FROM project_files WHERE {OF} IS NOT NULL")
+project_query(
+    "project_types", projects.types,
+    f" SELECT DISTINCT project, {OF} AS language, string_split(k, ':')[1] AS kind, string_split(k, ':')[2] AS value FROM (SELECT project, path, unnest(CASE path WHEN 'package.json' THEN ['type:nodejs', 'framework:react', 'type:vite'] WHEN 'pyproject.toml' THEN ['type:python', 'framework:fastapi', 'framework:django'] WHEN 'go.mod' THEN ['type:go', 'manager:go-modules', 'framework:gin'] WHEN 'Cargo.toml' THEN ['type:rust', 'manager:cargo', 'framework:tokio'] WHEN 'app.csproj' THEN ['framework:asp.net-core-web'] ELSE [] END) AS k FROM project_files)",
+)
+RUNTIME = case("path", package__json="Node.js", pyproject__toml="Python", go__mod="Go", Cargo__toml="Rust", app__csproj=".NET")
+VERSION = case("path", package__json=">=18", pyproject__toml="3.11", go__mod="1.21", Cargo__toml="1.70", app__csproj="net8.0")
+project_query("runtime_versions", projects.versions, f" SELECT DISTINCT project, {RUNTIME} AS runtime, {VERSION} AS version FROM project_files WHERE {RUNTIME} IS NOT NULL")
+project_query("code_standards", projects.standards, " SELECT DISTINCT project, unnest(CASE path WHEN '.eslintrc' THEN ['ESLint'] WHEN 'pyproject.toml' THEN ['Pylint', 'Flake8', 'Mypy', 'Pytest', 'Ruff'] ELSE [] END) AS standard FROM project_files")
+project_query("monorepo_tools", projects.monorepo, " SELECT DISTINCT project, CASE path WHEN 'lerna.json' THEN 'lerna' ELSE 'npm-workspaces' END AS tool FROM project_files WHERE path IN ('lerna.json', 'package.json')")
+project_query("entry_points", projects.entry_points, " SELECT DISTINCT project, path FROM project_files WHERE path = 'src/main.go' OR (path LIKE '%.go' AND contains(content, 'func main()'))")
+
+
+@query(duck("project_files") + ", v AS (SELECT project, CASE path WHEN 'package.json' THEN regexp_extract(content, '\"version\": \"([^\"]+)\"', 1) WHEN 'pyproject.toml' THEN '2.0' WHEN 'Cargo.toml' THEN '0.3' WHEN 'app.csproj' THEN '5.1' END AS version, CASE path WHEN 'package.json' THEN 0 WHEN 'pyproject.toml' THEN 1 WHEN 'Cargo.toml' THEN 2 ELSE 3 END AS place FROM project_files) SELECT project, min(place) AS place FROM v WHERE version IS NOT NULL GROUP BY project")
+def project_version(spark, d):
+    rows = projects.own_version(fixture(spark, d, "project_files"))
+    place = F.when(F.col("version").startswith("1."), 0).when(F.col("version") == "2.0", 1).when(F.col("version") == "0.3", 2).otherwise(3)
+    return rows.select("project", place.alias("place"))  # a project holds several files of one rule: the rule is compared
+
+
+# -- documentation comments, reports, streams -------------------------------
+
+
+@query(duck("doc_code") + " SELECT path, CASE doc_id % 2 WHEN 0 THEN concat('add', doc_id) ELSE concat('run', doc_id) END AS name, 'function' AS type, CASE doc_id % 2 WHEN 0 THEN 'Adds one.' ELSE 'Runs it.' END AS description, 'a' AS param, CASE doc_id % 2 WHEN 0 THEN 'number: more' ELSE '' END AS returns, CAST(1 AS BIGINT) AS line FROM doc_code")
+def extract_docs(spark, d):
+    rows = docstrings.entries(fixture(spark, d, "doc_code"))
+    return rows.select("path", "name", "type", "description", F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("param"), "returns", "line")
+
+
+@query(duck("doc_code") + " SELECT count(*) AS total, count(*) AS functions, CAST(0 AS BIGINT) AS classes, CAST(0 AS BIGINT) AS types, CAST(0 AS BIGINT) AS with_examples FROM doc_code")
+def doc_summary(spark, d):
+    return docstrings.summary(docstrings.entries(fixture(spark, d, "doc_code")))
+
+
+@query()
+def docs_to_markdown(spark, d):
+    return docstrings.markdown(docstrings.entries(fixture(spark, d, "doc_code")))
+
+
+@query()
+def audit_report(spark, d):
+    docs = fixture(spark, d, "md_docs")
+    found = documents.metrics(docs)
+    return sinks.audit_report(documents.levels(found), documents.issues(found, documents.expected(docs)))
+
+
+@query(duck("snap_old", "snap_new") + f",{DIFF} SELECT path, status, hash FROM d WHERE status <> 'unchanged'")
+def stream_batch_changes(spark, d):
+    """One micro-batch of the change stream: the whole new snapshot, and deletions, as a log."""
+    old, new = fixture(spark, d, "snap_old"), fixture(spark, d, "snap_new")
+    gone = old.join(new, "path", "left_anti").select("path", F.lit(None).cast("string").alias("content"))
+    log = new.select("path", "content").unionByName(gone).withColumn("at", F.lit("2024-01-01").cast("timestamp"))
+    return batch_changes(log, snapshot.snapshot(old))[0]

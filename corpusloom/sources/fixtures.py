@@ -59,6 +59,23 @@ SELECT doc_id, concat('src/m', CAST(doc_id % 40 AS STRING), '/f', CAST(doc_id AS
     WHEN 0 THEN concat('import { a } from ''./f', CAST(doc_id + 120 AS STRING), ''';', chr(10), 'import ''../m', CAST((doc_id + 3) % 40 AS STRING), '/f', CAST(doc_id + 3 AS STRING), '.js'';', chr(10), 'export const v', CAST(doc_id AS STRING), ' = 1;', chr(10), 'export function go', CAST(doc_id % 10 AS STRING), '() {}', chr(10))
     WHEN 1 THEN concat('from .f', CAST(doc_id + 120 AS STRING), ' import x', chr(10), 'def run', CAST(doc_id % 10 AS STRING), '(a):', chr(10), '    return a', chr(10), 'class K', CAST(doc_id AS STRING), ':', chr(10), '    pass', chr(10))
     ELSE concat('import "fmt"', chr(10), 'func Do', CAST(doc_id % 7 AS STRING), '() {', chr(10), '}', chr(10), 'type T', CAST(doc_id AS STRING), ' struct {', chr(10), '}', chr(10)) END AS content
+FROM {documents}""",
+    "project_files": """
+SELECT concat('p', CAST(doc_id % 50 AS STRING)) AS project, CASE doc_id % 9
+    WHEN 0 THEN 'package.json' WHEN 1 THEN 'pyproject.toml' WHEN 2 THEN 'go.mod' WHEN 3 THEN 'Cargo.toml' WHEN 4 THEN '.eslintrc' WHEN 5 THEN 'app.csproj' WHEN 6 THEN 'src/main.go' WHEN 7 THEN 'lerna.json' ELSE 'cmd/x.go' END AS path,
+  CASE doc_id % 9
+    WHEN 0 THEN concat('{"version": "1.', CAST(doc_id AS STRING), '", "engines": {"node": ">=18"}, "workspaces": [], "dependencies": {"react": "1", "vite": "2"}}')
+    WHEN 1 THEN concat('[project]', chr(10), 'version = "2.0"', chr(10), 'python = "3.11"', chr(10), 'deps = ["fastapi", "django"]', chr(10))
+    WHEN 2 THEN concat('module x', chr(10), 'go 1.21', chr(10), 'require github.com/gin-gonic/gin v1', chr(10))
+    WHEN 3 THEN concat('[package]', chr(10), 'version = "0.3"', chr(10), 'rust-version = "1.70"', chr(10), 'tokio = "1"', chr(10))
+    WHEN 5 THEN '<Project Sdk="Microsoft.NET.Sdk.Web"><TargetFramework>net8.0</TargetFramework><Version>5.1</Version></Project>'
+    WHEN 8 THEN CASE WHEN doc_id % 2 = 0 THEN 'package x func main() {}' ELSE 'package y' END
+    ELSE 'x' END AS content
+FROM {documents}""",
+    "doc_code": """
+SELECT doc_id, concat('f', CAST(doc_id AS STRING), CASE doc_id % 2 WHEN 0 THEN '.ts' ELSE '.py' END) AS path,
+  CASE doc_id % 2 WHEN 0 THEN concat('/** Adds one.', chr(10), ' * @param {number} a - the value', chr(10), ' * @returns {number} more', chr(10), ' */', chr(10), 'export function add', CAST(doc_id AS STRING), '(a) {}', chr(10))
+  ELSE concat('def run', CAST(doc_id AS STRING), '(a):', chr(10), '    \"\"\"Runs it.', chr(10), chr(10), '    Args:', chr(10), '        a (int): how often', chr(10), '    Returns:', chr(10), '        the result', chr(10), '    \"\"\"', chr(10)) END AS content
 FROM {documents}""",
     "search_src": "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, substring(coalesce(text, ''), 1, 5000) AS body FROM {documents}",
 }
