@@ -19,8 +19,8 @@ chance, are thus left out.
 
 Equal sets are one class. Within a key's group no full list of pairs is made: first every
 class is compared with one pivot, twice, and only groups that still hold classes of
-different components are compared in full, by Hamming distance of 512-bit sketches in
-blocks; a group beyond ``GROUP_ROWS`` is first dealt out by a second, independent sketch,
+different components are compared in full, by Hamming distance of 2,048-bit sketches in
+blocks (of their 512-bit folds first: a parity sketch folded by XOR is a parity sketch); a group beyond ``GROUP_ROWS`` is first dealt out by a second, independent sketch,
 under which similar sets must agree on a block as well. Every pair that remains is
 verified on the sets themselves, and links join components.
 
@@ -46,7 +46,8 @@ from .io import cut
 BAND_RATIO = 1.5
 BLOCKS_PER_DIFFERENCE = 1.5
 GROUP_ROWS = 2048
-SKETCH_BITS = 512
+#: Whole sketches, and the fold of them by XOR that is compared first.
+SKETCH_BITS, FOLD_BITS = 2048, 512
 #: Bits of the filter that keeps sets nobody asks for from being shuffled: 2 MB, fixed.
 FILTER_BITS = 24
 
@@ -118,7 +119,7 @@ def sketch_keys(items: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
 
 def bit_sketch(items: np.ndarray) -> bytes:
     """The parity sketch of SKETCH_BITS bits."""
-    count = np.bincount((kern.mix(items ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS)
+    count = np.bincount((kern.mix(items ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS)
     return np.packbits(count & 1).tobytes()
 
 
@@ -262,19 +263,26 @@ def close_pairs(rows: DataFrame, rule: Rule) -> DataFrame:
     and sketches no farther apart than linked sets can be; distinct."""
 
     def compare(cls, comp, n, sketch):
+        fold = np.bitwise_xor.reduce(sketch.reshape(len(cls), SKETCH_BITS // FOLD_BITS, -1), axis=1)
         for at in range(0, len(cls), 256):
             cut_ = slice(at, at + 256)
-            far = np.bitwise_count(sketch[cut_, None, :] ^ sketch[None, :, :]).sum(axis=2, dtype=np.int64)
+            far = np.bitwise_count(fold[cut_, None, :] ^ fold[None, :, :]).sum(axis=2, dtype=np.int64)
             near = (far <= most_apart(n[cut_, None], n[None, :], rule.percent)) & (comp[cut_, None] != comp[None, :])
             near &= cls[cut_, None] < cls[None, :]
             i, j = np.nonzero(near)
-            yield cls[i + at], cls[j]
+            i += at
+            for part in range(0, len(i), 1 << 16):
+                a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                far = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+                near = far <= most_apart(n[a], n[b], rule.percent)
+                yield cls[a[near]], cls[b[near]]
 
     def group(table: pa.Table) -> pa.Table:
         cls, comp, n = (table[c].to_numpy() for c in ("cls", "comp", "n"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(cls), -1)
         found = list(compare(cls, comp, n, sketch))
-        return pa.table({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+        columns = [np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1)]
+        return pa.table(columns, ["a", "b"])
 
     return rows.groupBy("key").applyInArrow(group, "a long, b long").distinct()
 
