@@ -31,7 +31,9 @@ from pyspark.sql.window import Window
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
 TREES, BITS = 64, 24
-SHARE = 0.6
+SHARE = 0.8
+#: Candidates collected at least, a neighbour asked for: small shards are compared nearly in full.
+FLOOR = 32
 SEED = 97
 FOUND = "query_id long, vec_id long, score double"
 
@@ -102,7 +104,7 @@ def search(points: DataFrame, queries: DataFrame, k: int = 20, share: float = SH
         wanted = np.stack(asked["vector"].to_list())
         forest = Forest(vectors)
         out = []
-        for query, own, near in zip(asked["vec_id"], wanted, forest.candidates(wanted, int(share * len(ids)) + 8 * k), strict=True):
+        for query, own, near in zip(asked["vec_id"], wanted, forest.candidates(wanted, int(share * len(ids)) + FLOOR * k), strict=True):
             near = near[ids[near] != query]
             scores = (vectors[near] * own).sum(axis=1)  # the same order of sums for every row
             if len(near) > k:  # keep ties with the k-th for the order by id
