@@ -326,7 +326,7 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def join(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n_shingles, cls, component_id of every document.
+    """doc_id, n_shingles, cls, comp (the component's own key), component_id of every document.
 
     component_id is the least doc_id that links reach, the document's own included. Null
     and empty texts and texts without words have n_shingles 0 and are linked with nothing.
@@ -340,17 +340,18 @@ def join(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = link_components(docs, rule)
     homes = known.select("cls", "least").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp"))
     firsts = homes.groupBy("comp").agg(F.min("least").alias("component_id"))
-    homes = homes.join(firsts, "comp").select(F.col("cls").alias("of"), "component_id")
+    homes = homes.join(firsts, "comp").select(F.col("cls").alias("of"), "comp", "component_id")
     found = base.join(homes, F.col("cls") == F.col("of"), "left")
     own = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", "cls", own.alias("component_id"))
+    return found.select("doc_id", "n_shingles", "cls", "comp", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
     """One document of each component, the one with the least doc_id, with all its columns;
     of rows that repeat it, one. Documents without words all stay."""
     members = join(docs, rule).where("cls is not null")
-    chosen = cut(members.groupBy("component_id").agg(F.min(F.struct("doc_id", "cls")).alias("m")).select(F.col("m.cls").alias("__chosen"), F.col("m.doc_id").alias("__doc")))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cls"))
+    chosen = cut(members.groupBy("comp").agg(first.alias("m")).select(F.col("m.cls").alias("__chosen"), F.col("m.doc_id").alias("__doc")))
     place = docs.columns.index("text")
 
     def rows(batches):
