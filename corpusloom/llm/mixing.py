@@ -67,7 +67,8 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
 def schedule(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, the words of each
     pass (``first_words``, ``second_words``) and the training positions of both."""
-    order = F.xxhash64("doc_id", "source")
+    # the first 60 bits of MD5: a fixed order that other engines can follow
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("source"))), 1, 15), 16, 10).cast("long")
     rows = docs.select("doc_id", "source", sizes(F.col("text")).alias("size"), order.alias("draw"))
     rows = rows.withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

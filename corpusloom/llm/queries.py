@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, jaccard, mixing, packing, pii, quality, suffixes, tokens, toxicity
 from .io import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
 }
-ORACLES: dict[str, str] = {}
+
