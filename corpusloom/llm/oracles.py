@@ -43,4 +43,18 @@ r AS (SELECT doc_id AS node, doc_id AS home FROM documents UNION SELECT e.y, r.h
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, h.home AS component_id FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT node, min(home) AS home FROM r GROUP BY node) h ON h.node = d.doc_id
 """
 
-ORACLES = {"op4_jaccard_join": OP4, "op8_quality_rules": OP8, "op9_mixing": OP9}
+OP1 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, i, hash(b[i:i+399]) AS h FROM d, unnest(range(1, n - 398)) t(i)),
+t AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+c AS (SELECT doc_id, i FROM p SEMI JOIN t USING (h)),
+k AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM c),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM k),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+r AS (SELECT q.doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept, max(z) AS last FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(concat(coalesce(kept, ''), hex(b[coalesce(last, 0) + 1:n])))) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+
+ORACLES = {"op1_suffix_dedup": OP1, "op4_jaccard_join": OP4, "op8_quality_rules": OP8, "op9_mixing": OP9}
