@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces kept by a worker's cache, and the longest piece that enters it.
-CACHE_PIECES = 400_000
+#: Pieces kept by each of a worker's two caches (some 25 MB), and the longest that enters.
+CACHE_PIECES = 100_000
 CACHE_CHARS = 64
 
 

@@ -46,6 +46,8 @@ from .io import cut
 BAND_RATIO = 1.5
 BLOCKS_PER_DIFFERENCE = 1.5
 GROUP_ROWS = 2048
+#: Rows of an output batch, about: bounds a worker's memory.
+KEYS_AT_ONCE = 100_000
 #: Whole sketches, and the fold of them by XOR that is compared first.
 SKETCH_BITS, FOLD_BITS = 2048, 512
 #: Bits of the filter that keeps sets nobody asks for from being shuffled: 2 MB, fixed.
@@ -147,21 +149,30 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
 def keyed_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """(key, cls), each class once per partition."""
 
+    def table(keys, owners):
+        owner = np.repeat(np.array(owners, np.int64), [len(k) for k in keys])
+        return pa.RecordBatch.from_arrays([pa.array(kern.signed(np.concatenate(keys))), pa.array(owner)], ["key", "cls"])
+
     def rows(batches):
         seen = set()
         for batch in batches:
-            keys, owners = [np.zeros(0, np.uint64)], []
+            keys, owners, held = [], [], 0
             for buf in kern.byte_rows(batch.column(0)):
                 items = shingle_set(buf, rule.words)
                 if not len(items):
                     continue
                 cls, _ = identity(items)
-                if cls not in seen:
-                    seen.add(cls)
-                    keys.append(sketch_keys(items, rule.percent))
-                    owners.append((cls, len(keys[-1])))
-            owner = np.repeat(np.array([c for c, _ in owners], np.int64), [k for _, k in owners])
-            yield pa.RecordBatch.from_arrays([pa.array(kern.signed(np.concatenate(keys))), pa.array(owner)], ["key", "cls"])
+                if cls in seen:
+                    continue
+                seen.add(cls)
+                keys.append(sketch_keys(items, rule.percent))
+                owners.append(cls)
+                held += len(keys[-1])
+                if held > KEYS_AT_ONCE:
+                    yield table(keys, owners)
+                    keys, owners, held = [], [], 0
+            if keys:
+                yield table(keys, owners)
 
     return docs.select("text").mapInArrow(rows, "key long, cls long")
 
