@@ -10,16 +10,17 @@ elements apart for sizes a and b. Sets are joined per size band, in which d is f
 band's sketch has more than d blocks, so similar sets agree on whole blocks (pigeonhole),
 and a block's bits are the join key.
 
-Which blocks are keys: a set takes the largest content c such that more than d of its
-blocks hold at least c elements, and keys all blocks with that content. That loses no
-pair: of two similar sets take the one with the larger c; it has more than d blocks of
-content >= c, one of them has no difference, so the other set has the same block and,
-its own threshold being lower, keys it too. Near-empty blocks, which many sets share by
-chance, are thus left out.
+Which blocks are keys: a set takes the largest content c such that at least d + m of its
+blocks hold c elements or more (m: ``margin``), and keys all blocks with that content. That
+loses no pair: of two similar sets take the one with the larger c; of its d + m blocks of
+content >= c at least m have no difference, so the other set has the same blocks and, its
+own threshold being lower, keys them too. Near-empty blocks, which many sets share by
+chance, are thus left out; and a set that shares fewer than m keys of a band with any
+others has no link in that band and drops out before sets are compared.
 
 Equal sets are one class. Within a key's group no full list of pairs is made: first every
 class is compared with one pivot, twice, and only groups that still hold classes of
-different components are compared in full, by Hamming distance of 2,048-bit sketches in
+different components are compared in full, by Hamming distance of 1,024-bit sketches in
 blocks (of their 512-bit folds first: a parity sketch folded by XOR is a parity sketch); a group beyond ``GROUP_ROWS`` is first dealt out by a second, independent sketch,
 under which similar sets must agree on a block as well. Every pair that remains is
 verified on the sets themselves, and links join components.
@@ -45,11 +46,14 @@ from .io import cut
 
 BAND_RATIO = 1.5
 BLOCKS_PER_DIFFERENCE = 1.5
+MARGIN = 0.15
+#: Low bits of a key that hold its band.
+BAND_BITS = 7
 GROUP_ROWS = 2048
 #: Rows of an output batch, about: bounds a worker's memory.
 KEYS_AT_ONCE = 100_000
 #: Whole sketches, and the fold of them by XOR that is compared first.
-SKETCH_BITS, FOLD_BITS = 2048, 512
+SKETCH_BITS, FOLD_BITS = 1024, 512
 #: Bits of the filter that keeps sets nobody asks for from being shuffled: 2 MB, fixed.
 FILTER_BITS = 24
 
@@ -78,6 +82,11 @@ def identity(items: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)[0]), int(np.array([two], np.uint64).view(np.int64)[0])
 
 
+def margin(d: int) -> int:
+    """Keys of a band that linked sets share at least."""
+    return max(1, int(MARGIN * (d + 1)))
+
+
 @cache
 def bands(most: int, percent: int) -> list[tuple[int, int, int]]:
     """(least size, largest size, d) of the size bands up to sizes of ``most``; a pair
@@ -113,9 +122,10 @@ def sketch_keys(items: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
         first = np.concatenate(([0], np.cumsum(content[filled])[:-1]))
         # toggling one of 2**64 bits per element, the bits coded by their index
         parity[filled] = np.bitwise_xor.reduceat(kern.mix(spread + np.uint64(1))[order], first)
-        least = np.partition(content, blocks - d - 1)[blocks - d - 1]  # d + 1 blocks hold so much
-        chosen = np.flatnonzero(content >= least)
-        keys.append(kern.mix(parity[chosen] + kern.mix(chosen.astype(np.uint64) ^ seed)))
+        rest = blocks - d - margin(d)
+        chosen = np.flatnonzero(content >= np.partition(content, rest)[rest])  # d + margin blocks, or more with ties
+        code = kern.mix(parity[chosen] + kern.mix(chosen.astype(np.uint64) ^ seed))
+        keys.append(code >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(k))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
@@ -209,6 +219,17 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(rows, "key long, cls long")
 
 
+def prune(shared: DataFrame, rule: Rule) -> DataFrame:
+    """The rows of classes that share enough keys of a band to have a link there, on keys
+    that several such classes have."""
+    least = F.array(*(F.lit(margin(d)) for _, _, d in bands(1 << 48, rule.percent)))
+    rows = shared.withColumn("band", (F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1))).cast("int"))
+    enough = rows.groupBy("cls", "band").count().where(F.col("count") >= F.element_at(least, F.col("band") + 1)).select("cls", "band")
+    rows = rows.join(enough, ["cls", "band"]).select("key", "cls")
+    several = rows.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key")
+
+
 def wanted_filter(wanted: DataFrame) -> np.ndarray:
     """A one-hash Bloom filter of the ids in wanted(cls): 2**FILTER_BITS bits at most."""
     bit = F.shiftrightunsigned("cls", 64 - FILTER_BITS)
@@ -319,7 +340,7 @@ def deal_again(rows: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 
 def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
     """(node, comp) for the classes that are linked with another class."""
-    shared = cut(shared_keys(keyed_classes(docs, rule)))
+    shared = cut(prune(cut(shared_keys(keyed_classes(docs, rule))), rule))
     sets = cut(wanted_sets(docs, rule, shared.select("cls").distinct()))
     links = labels = None
     for turn in range(2):
@@ -327,12 +348,12 @@ def link_components(docs: DataFrame, rule: Rule) -> DataFrame:
         found = verified(pivot_pairs(rows, turn), sets, rule)
         links = cut(found if links is None else links.unionAll(found))
         labels = components(links)
-    rows = open_groups(shared, labels).join(sets.select("cls", "n", "sketch"), "cls").select("key", "cls", "comp", "n", "sketch")
-    rows = cut(rows)
+    rows = cut(open_groups(shared, labels))
     large = rows.groupBy("key").count().where(F.col("count") > GROUP_ROWS).select("key")
-    near = close_pairs(rows.join(large, "key", "left_anti"), rule)
+    described = lambda part: part.join(sets.select("cls", "n", "sketch"), "cls").select("key", "cls", "comp", "n", "sketch")
+    near = close_pairs(described(rows.join(large, "key", "left_anti")), rule)
     if not large.isEmpty():
-        near = near.unionAll(close_pairs(deal_again(rows.join(large, "key"), sets, rule), rule)).distinct()
+        near = near.unionAll(close_pairs(deal_again(described(rows.join(large, "key")), sets, rule), rule)).distinct()
     return components(links.unionAll(verified(near, sets, rule)))
 
 
