@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import LANGUAGE_OF
+from .rules import ALIASES, LANGUAGE_OF
 
 
 def basename(path: Column) -> Column:
@@ -31,6 +31,12 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, F.lower(extension(path)))
 
 
+def canonical_language(name: Column) -> Column:
+    """The language that a name or one of its aliases means, in any case; null for others."""
+    table = F.create_map(*(F.lit(x) for lang, names in ALIASES.items() for alias in (lang, *names) for x in (alias, lang)))
+    return F.try_element_at(table, F.lower(name))
+
+
 def kebab(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1-$2"), r"[\s_]+", "-"))
 

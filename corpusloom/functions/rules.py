@@ -131,3 +131,9 @@ LABELS = {
     "fr": ("Table des matières", "Accueil", "Modules", "Référence API"),
     "de": ("Inhaltsverzeichnis", "Startseite", "Module", "API-Referenz"),
 }
+
+# Other names of languages.
+ALIASES = {
+    "javascript": ("js", "typescript", "ts", "nodejs", "node", "node.js"), "python": ("py", "python3"), "go": ("golang", "go-lang"), "rust": ("rs", "rust-lang"),
+    "java": ("jdk", "jvm", "kotlin", "scala"), "ruby": ("rb",), "php": (), "dotnet": ("csharp", "c#", "vbnet", "vb.net", "fsharp", "f#", "aspnet", "asp.net"),
+}

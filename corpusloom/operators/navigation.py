@@ -50,6 +50,13 @@ def sidebar(docs: DataFrame) -> DataFrame:
     return files.unionAll(dirs.distinct())
 
 
+def sidebar_json(docs: DataFrame) -> DataFrame:
+    """docs(doc_path, content) -> one JSON text: text and link of every module page, by name."""
+    pages = docs.where("doc_path rlike '^modules/[^/]+\\\\.md$'").where(~F.regexp_extract("doc_path", "[^/]*$", 0).isin("index.md", "_index.md"))
+    items = pages.agg(F.array_sort(F.collect_list(F.struct(F.regexp_replace("doc_path", r"^(.*)\.md$", "/$1").alias("link"), title(F.col("content"), F.col("doc_path")).alias("text")))).alias("items"))
+    return items.select(F.to_json(F.struct(F.col("items").alias("/modules/"))).alias("json"))
+
+
 def search_index(docs: DataFrame, most: int = 5000) -> DataFrame:
     """docs(doc_path, content) -> path, title, url, body: Markdown marks stripped."""
     body = F.col("content")

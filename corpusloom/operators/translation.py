@@ -19,6 +19,14 @@ def languages(configs: DataFrame) -> DataFrame:
     return configs.select("language", F.trim(F.get(parts, F.lit(0))).alias("first"), F.size(parts).cast("long").alias("n"), F.concat_ws(",", F.slice(parts, 2, 100)).alias("others"))
 
 
+def available(configs: DataFrame, folders: DataFrame) -> DataFrame:
+    """configs(project, language), folders(project, folder) -> project, lang, folder: the
+    configured languages that have a folder, wiki for the first and wiki_xx for others."""
+    wanted = configs.select("project", F.posexplode(F.split("language", "/")).alias("place", "lang"))
+    wanted = wanted.withColumn("folder", F.when(F.col("place") == 0, "wiki").otherwise(F.concat(F.lit("wiki_"), "lang")))
+    return wanted.join(folders, ["project", "folder"], "left_semi").select("project", "lang", "folder")
+
+
 def language_of_dir(folder: Column) -> Column:
     """wiki_xx -> xx where xx is a supported language, else en."""
     code = F.regexp_extract(folder, r"wiki_([a-z]{2})$", 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules
 from ..operators import docstrings, documents, files, graph, modules, navigation, projects, snapshot, translation
-from ..sources import sinks
+from ..sources import sinks, tree
 from ..sources.fixtures import duck, fixture
 from ..streaming.changes import batch_changes
 from . import incremental
@@ -704,3 +704,33 @@ def stream_batch_changes(spark, d):
     gone = old.join(new, "path", "left_anti").select("path", F.lit(None).cast("string").alias("content"))
     log = new.select("path", "content").unionByName(gone).withColumn("at", F.lit("2024-01-01").cast("timestamp"))
     return batch_changes(log, snapshot.snapshot(old))[0]
+
+
+ALIAS = "CASE lower(name) " + " ".join(f"WHEN '{a}' THEN '{lang}'" for lang, names in rules.ALIASES.items() for a in (lang, *names)) + " END"
+
+
+@query(f"SELECT name, {ALIAS} AS language FROM (SELECT unnest(['TypeScript', 'py', 'C#', 'go', 'cobol', 'Node.js']) AS name)")
+def handler_alias(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("TypeScript", "py", "C#", "go", "cobol", "Node.js")], "name string")
+    return rows.select("name", paths.canonical_language(F.col("name")).alias("language"))
+
+
+@query("SELECT * FROM (VALUES ('p', 'zh', 'wiki'), ('p', 'ja', 'wiki_ja'), ('q', 'en', 'wiki')) v(project, lang, folder)")
+def available_langs(spark, d):
+    configs = spark.createDataFrame([("p", "zh/en/ja"), ("q", "en/de")], "project string, language string")
+    folders = spark.createDataFrame([("p", "wiki"), ("p", "wiki_ja"), ("q", "wiki"), ("q", "wiki_fr")], "project string, folder string")
+    return translation.available(configs, folders)
+
+
+@query()
+def sidebar_json(spark, d):
+    return navigation.sidebar_json(fixture(spark, d, "md_docs"))
+
+
+@query()
+def walk_files(spark, d):
+    """The tree of this package, hashed."""
+    from pathlib import Path
+
+    rows = tree.read_tree(spark, str(Path(__file__).resolve().parents[1]), exclude="__pycache__")
+    return rows.select("path", snapshot.fingerprint(F.col("content")).alias("hash"))
