@@ -193,6 +193,7 @@ def settle(items: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     counts = items.groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"))
     lone = F.col("whole").isNull() | (F.col("c") < 2)
     ranks = counts.groupBy("core").agg(F.sum("c").alias("n"), F.max(lone).alias("open")).where("n > 1").select("core", "open")
+    ranks = cut(ranks)  # a written side leaves the join free to split a hot rank
     alive = cut(items.join(ranks, "core"))
     span = lambda rows: rows.select("cls", (F.col("anchor") - F.col("far")).alias("start"), (F.col("anchor") - F.col("near") + LENGTH).alias("end"))
     if last:
