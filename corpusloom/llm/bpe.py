@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pieces kept by each of a worker's two caches (some 25 MB), and the longest that enters.
-CACHE_PIECES = 100_000
+#: Pieces in a generation of a worker's two caches, and the longest piece that enters them.
+CACHE_PIECES = 120_000
 CACHE_CHARS = 64
 
 
@@ -92,8 +92,7 @@ class Transducer:
         length = {t: len(t.removesuffix(self.suffix)) if self.suffix else len(t) for t in self.vocab}
         self.lookahead = sufficient_lookahead(merges, length)
         self.window = 4 * self.lookahead
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.cache, self.chunks = Recent(CACHE_PIECES), Recent(CACHE_PIECES)
 
     # -- encoding -----------------------------------------------------------
 
@@ -132,27 +131,23 @@ class Transducer:
 
     def piece(self, piece: str) -> tuple[bytes, bytes]:
         """A piece's ids (little-endian 32-bit) and its decoded bytes."""
-        found = self.cache.get(piece)
+        found = self.cache.get(piece) or self.cache.find(piece)
         if found is None:
             names = list(self.tokens(piece))
             ids = np.array([self.vocab[t] for t in names], "<u4").tobytes()
             found = ids, " ".join(names).encode() if self.decoder is None else b""
             if len(piece) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
-                self.cache[piece] = found
+                self.cache.keep(piece, found)
         return found
 
     def chunk(self, chunk: str) -> tuple[bytes, bytes]:
         """The same for a run of characters without white space."""
-        found = self.chunks.get(chunk)
+        found = self.chunks.find(chunk)
         if found is None:
             own = [self.piece(p) for p in self.pieces.findall(chunk)]
             found = b"".join(i for i, _ in own), b" ".join(d for _, d in own)
             if len(chunk) <= CACHE_CHARS:
-                if len(self.chunks) >= CACHE_PIECES:
-                    self.chunks.clear()
-                self.chunks[chunk] = found
+                self.chunks.keep(chunk, found)
         return found
 
     def normalise(self, text: str) -> str:
@@ -209,6 +204,26 @@ _SPACE = regex.compile(r"\s+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
+class Recent(dict):
+    """A bounded cache of two generations: a full one becomes the old one, entries in use
+    move to the new one, and what was not used meanwhile is forgotten."""
+
+    def __init__(self, size: int):
+        self.size, self.old = size, {}
+
+    def find(self, key: str):
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 @functools.cache
 def transducer(path: str) -> Transducer:
     return Transducer(path)
