@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces in a generation of a worker's two caches, and the longest piece that enters them.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 60_000
 CACHE_CHARS = 64
 
 
