@@ -1,84 +1,91 @@
 """Documentation comments of declarations, as rows.
 
-Reading a comment needs a small state machine per comment, so this is an Arrow map: no
-shuffle, one row in, its entries out.
+Declarations are matches of a pattern, exploded with their line; a comment is an array of
+lines, and each output column an expression over that array. No Python, no shuffle.
 """
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ENTRY = "path string, name string, type string, description string, params array<struct<name:string,type:string,description:string>>, returns string, examples array<string>, line long"
-_PARAMS = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("description", pa.string())]))
-
-# fixed values: declarations with comments, and section titles
-_SCRIPT = re.compile(r"/\*\*\s*([\s\S]*?)\*/\s*(?:export\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type)\s+(\w+)")
-_PYTHON = re.compile(r"""(?:^|\n)((?:async\s+)?def|class)\s+(\w+)[^:]*:\s*(?:\n\s+)?(?:\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)''')""")
-_TITLES = {
-    **dict.fromkeys(("Args:", "Arguments:", "Parameters:", "Params:"), "params"),
-    **dict.fromkeys(("Returns:", "Return:", "Yields:"), "returns"),
-    **dict.fromkeys(("Example:", "Examples:", "Usage:"), "examples"),
+# fixed values: declarations with comments, tags, parameters and section titles
+SCRIPT = r"/\*\*\s*([\s\S]*?)\*/\s*(?:export\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type)\s+(\w+)"
+PYTHON = r"""(?:^|\n)((?:async\s+)?def|class)\s+(\w+)[^:]*:\s*(?:\n\s+)?(?:\"\"\"([\s\S]*?)\"\"\"|'''([\s\S]*?)''')"""
+SCRIPT_ENDINGS, PYTHON_ENDINGS = ("js", "jsx", "ts", "tsx", "mjs", "cjs"), ("py", "pyi")
+PARAM_TAG = r"@param\s+\{([^}]+)\}\s+(\w+)\s*-?\s*(.*)"
+RETURN_TAG = r"@returns?\s+\{([^}]+)\}\s*(.*)"
+PARAM = r"(\w+)\s*(?:\(([^)]+)\))?\s*:\s*(.*)"
+TITLES = {
+    "params": ("Args:", "Arguments:", "Parameters:", "Params:"),
+    "returns": ("Returns:", "Return:", "Yields:"),
+    "examples": ("Example:", "Examples:", "Usage:"),
 }
+OTHER_TITLE = r"^[^:]*:$"
+
+def group(text: Column, pattern: str, k: int) -> Column:
+    return F.regexp_extract(text, pattern, k)
+
+
+def line_breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def declarations(files: DataFrame, endings: tuple[str, ...], pattern: str) -> DataFrame:
+    """path, hit, line of every match of ``pattern`` in files with these endings: the line
+    follows from the line breaks in the text between matches and in earlier matches."""
+    content = F.coalesce("content", F.lit(""))
+    own = files.where(F.lower(F.substring_index("path", ".", -1)).isin(*endings)).select("path", F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("hits"), F.split(content, pattern, -1).alias("between"))
+    breaks = lambda texts, n: F.aggregate(F.slice(texts, F.lit(1), n), F.lit(0), lambda total, t: total + line_breaks(t))
+    placed = F.transform("hits", lambda hit, k: F.struct(hit.alias("hit"), (breaks("between", k + 1) + breaks("hits", k) + 1).cast("long").alias("line")))
+    return own.select("path", F.inline(placed))
 
 
-def script_entries(text: str):
+def params(lines: Column, pattern: str, name: int, kind: int) -> Column:
+    """The parameters that lines describe: name, type ("Any" where none is given), description."""
+    typed = lambda line: F.when(group(line, pattern, kind) == "", "Any").otherwise(group(line, pattern, kind))
+    read = lambda line: F.struct(group(line, pattern, name).alias("name"), typed(line).alias("type"), group(line, pattern, 3).alias("description"))
+    return F.transform(F.filter(lines, lambda line: line.rlike(pattern)), read)
+
+
+def script_entries(files: DataFrame) -> DataFrame:
     """Entries of block comments that stand directly before a declaration."""
-    for found in _SCRIPT.finditer(text or ""):
-        said, params, returns = [], [], None
-        for raw in found[1].split("\n"):
-            line = re.sub(r"^\*\s?", "", raw.strip())
-            tag = line.split(maxsplit=1)[0] if line.startswith("@") else ""
-            if tag == "":
-                said.append(line)
-            elif tag.startswith("@param"):
-                if m := re.match(r"@param\s+\{([^}]+)\}\s+(\w+)\s*-?\s*(.*)", line):
-                    params.append({"name": m[2], "type": m[1], "description": m[3]})
-            elif tag.startswith("@return"):
-                if m := re.match(r"@returns?\s+\{([^}]+)\}\s*(.*)", line):
-                    returns = f"{m[1]}: {m[2]}"
-        whole = found[0].lower()
-        kind = next((k for k in ("class", "interface", "type") if k in whole), "function")
-        yield found[2], kind, " ".join(said).strip(), params, returns, [], text.count("\n", 0, found.start()) + 1
-
-
-def python_entries(text: str):
-    """Entries of documentation strings of top-level functions and classes."""
-    for found in _PYTHON.finditer(text or ""):
-        parts: dict[str, list[str]] = {"said": [], "params": [], "returns": [], "examples": [], "other": []}
-        part = "said"
-        for raw in (found[3] or found[4] or "").split("\n"):
-            line = raw.strip()
-            if line in _TITLES:
-                part = _TITLES[line]
-            elif line.endswith(":") and line.count(":") == 1:
-                part = "other"
-            else:
-                parts[part].append(line)
-        matches = filter(None, (re.search(r"(\w+)\s*(?:\(([^)]+)\))?\s*:\s*(.*)", x) for x in parts["params"]))
-        params = [{"name": m[1], "type": m[2] or "Any", "description": m[3]} for m in matches]
-        kind = "function" if "def" in found[1] else "class"
-        yield found[2], kind, " ".join(parts["said"]).strip(), params, parts["returns"][-1] if parts["returns"] else None, parts["examples"], text.count("\n", 0, found.start()) + 1
+    hit, lines = F.col("hit"), F.col("lines")
+    rows = declarations(files, SCRIPT_ENDINGS, SCRIPT)
+    rows = rows.withColumn("lines", F.transform(F.split(group(hit, SCRIPT, 1), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"^\*\s?", "")))
+    words, whole = F.filter(lines, lambda x: ~x.startswith("@")), F.lower(hit)
+    kind = F.coalesce(*(F.when(whole.contains(k), k) for k in ("class", "interface", "type")), F.lit("function"))
+    results = F.filter(lines, lambda x: x.rlike("^" + RETURN_TAG))
+    result = lambda x: F.concat(group(x, RETURN_TAG, 1), F.lit(": "), group(x, RETURN_TAG, 2))
+    return rows.select(
+        "path", group(hit, SCRIPT, 2).alias("name"), kind.alias("type"), F.trim(F.array_join(words, " ")).alias("description"),
+        params(lines, "^" + PARAM_TAG, 2, 1).alias("params"), result(F.try_element_at(results, F.lit(-1))).alias("returns"), F.array().cast("array<string>").alias("examples"), "line",
+    )
+
+
+def python_entries(files: DataFrame) -> DataFrame:
+    """Entries of documentation strings of top-level functions and classes.
+
+    A line belongs to the section of the last title above it."""
+    hit = F.col("hit")
+    body = F.when(group(hit, PYTHON, 3) != "", group(hit, PYTHON, 3)).otherwise(group(hit, PYTHON, 4))
+    section = lambda x: F.coalesce(*(F.when(x.isin(*titles), name) for name, titles in TITLES.items()), F.when(x.rlike(OTHER_TITLE), "other"))
+    rows = declarations(files, PYTHON_ENDINGS, PYTHON).withColumn("lines", F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")))
+    rows = rows.withColumn("titles", F.filter(F.transform("lines", lambda x, at: F.struct(at.alias("at"), section(x).alias("of"))), lambda t: t["of"].isNotNull()))
+    above = lambda at: F.try_element_at(F.filter("titles", lambda t: t["at"] <= at), F.lit(-1))["of"]
+    told = F.filter(F.transform("lines", lambda x, at: F.struct(x.alias("line"), F.coalesce(above(at), F.lit("description")).alias("of"))), lambda x: section(x["line"]).isNull())
+    rows = rows.withColumn("told", told)
+    under = lambda name: F.transform(F.filter("told", lambda x: x["of"] == name), lambda x: x["line"])
+    return rows.select(
+        "path", group(hit, PYTHON, 2).alias("name"), F.when(group(hit, PYTHON, 1).contains("def"), "function").otherwise("class").alias("type"),
+        F.trim(F.array_join(under("description"), " ")).alias("description"), params(under("params"), PARAM, 1, 2).alias("params"),
+        F.try_element_at(under("returns"), F.lit(-1)).alias("returns"), under("examples").alias("examples"), "line",
+    )
 
 
 def entries(files: DataFrame) -> DataFrame:
     """files(path, content) -> one row an entry; other languages than scripts and Python have none."""
-
-    def rows(batches):
-        for batch in batches:
-            out = []
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                end = (path or "").rpartition(".")[2].lower()
-                reader = python_entries if end in ("py", "pyi") else script_entries if end in ("js", "jsx", "ts", "tsx", "mjs", "cjs") else None
-                out += [(path, *e) for e in (reader(text) if reader else ())]
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), _PARAMS, pa.string(), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["path", "name", "type", "description", "params", "returns", "examples", "line"])
-
-    return files.select("path", "content").mapInArrow(rows, ENTRY)
+    return script_entries(files).unionByName(python_entries(files))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -674,18 +674,35 @@ def project_version(spark, d):
 # -- documentation comments, reports, streams -------------------------------
 
 
-@query(duck("doc_code") + " SELECT path, CASE doc_id % 2 WHEN 0 THEN concat('add', doc_id) ELSE concat('run', doc_id) END AS name, 'function' AS type, CASE doc_id % 2 WHEN 0 THEN 'Adds one.' ELSE 'Runs it.' END AS description, 'a' AS param, CASE doc_id % 2 WHEN 0 THEN 'number: more' ELSE '' END AS returns, CAST(1 AS BIGINT) AS line FROM doc_code")
+# what the comments of doc_code say, written out by hand
+DOC_ENTRIES = duck("doc_code") + """, said AS (
+SELECT path, doc_id % 6 AS k, concat(CASE doc_id % 6 WHEN 0 THEN 'add' WHEN 1 THEN 'run' WHEN 2 THEN 'S' WHEN 3 THEN 'K' ELSE 'T' END, doc_id) AS name,
+  CASE doc_id % 6 WHEN 2 THEN 'interface' WHEN 3 THEN 'class' WHEN 4 THEN 'type' ELSE 'function' END AS type,
+  CASE doc_id % 6 WHEN 0 THEN 'Adds one.' WHEN 1 THEN 'Runs it.' WHEN 2 THEN 'Shape. with two lines' WHEN 3 THEN 'Holds.' ELSE 'An alias.' END AS description,
+  CASE doc_id % 6 WHEN 0 THEN 'a/number/the value' WHEN 1 THEN 'a/int/how often' ELSE '' END AS param,
+  CASE doc_id % 6 WHEN 0 THEN 'number: more' WHEN 1 THEN '' END AS returns,
+  CASE doc_id % 6 WHEN 3 THEN 'K()|K(1)' ELSE '' END AS examples, CASE doc_id % 6 WHEN 4 THEN 2 ELSE 1 END AS line
+FROM doc_code WHERE doc_id % 6 <> 5
+UNION ALL SELECT path, 6, concat('v', doc_id), 'function', 'Plain', '', NULL, '', 4 FROM doc_code WHERE doc_id % 6 = 4)"""
+
+
+@query(DOC_ENTRIES + " SELECT path, name, type, description, param, returns, examples, CAST(line AS BIGINT) AS line FROM said")
 def extract_docs(spark, d):
     rows = docstrings.entries(fixture(spark, d, "doc_code"))
-    return rows.select("path", "name", "type", "description", F.array_join(F.transform("params", lambda p: p["name"]), ",").alias("param"), "returns", "line")
+    param = F.array_join(F.transform("params", lambda p: F.concat_ws("/", p["name"], p["type"], p["description"])), ",")
+    return rows.select("path", "name", "type", "description", param.alias("param"), "returns", F.array_join("examples", "|").alias("examples"), "line")
 
 
-@query(duck("doc_code") + " SELECT count(*) AS total, count(*) AS functions, CAST(0 AS BIGINT) AS classes, CAST(0 AS BIGINT) AS types, CAST(0 AS BIGINT) AS with_examples FROM doc_code")
+@query(DOC_ENTRIES + " SELECT count(*) AS total, count(*) FILTER (k IN (0, 1, 6)) AS functions, count(*) FILTER (k = 3) AS classes, count(*) FILTER (k IN (2, 4)) AS types, count(*) FILTER (k = 3) AS with_examples FROM said")
 def doc_summary(spark, d):
     return docstrings.summary(docstrings.entries(fixture(spark, d, "doc_code")))
 
 
-@query()
+@query(DOC_ENTRIES + """, one AS (SELECT path, k, concat('### `', name, '`', chr(10), chr(10), description, chr(10), CASE k
+  WHEN 0 THEN concat(chr(10), '**参数:**', chr(10), chr(10), '- `a` (number): the value', chr(10), chr(10), '**返回值:** number: more', chr(10))
+  WHEN 1 THEN concat(chr(10), '**参数:**', chr(10), chr(10), '- `a` (int): how often', chr(10), chr(10), '**返回值:** ', chr(10)) ELSE '' END) AS md FROM said),
+titled AS (SELECT path, CASE WHEN k IN (0, 1, 6) THEN 1 WHEN k = 3 THEN 2 ELSE 3 END AS o, md FROM one)
+SELECT path, string_agg(concat('## ', CASE o WHEN 1 THEN '函数' WHEN 2 THEN '类' ELSE '类型定义' END, chr(10), chr(10), md), chr(10) ORDER BY o) AS md FROM titled GROUP BY path""")
 def docs_to_markdown(spark, d):
     return docstrings.markdown(docstrings.entries(fixture(spark, d, "doc_code")))
 

@@ -74,8 +74,13 @@ SELECT concat('p', CAST(doc_id % 50 AS STRING)) AS project, CASE doc_id % 9
 FROM {documents}""",
     "doc_code": """
 SELECT doc_id, concat('f', CAST(doc_id AS STRING), CASE doc_id % 2 WHEN 0 THEN '.ts' ELSE '.py' END) AS path,
-  CASE doc_id % 2 WHEN 0 THEN concat('/** Adds one.', chr(10), ' * @param {number} a - the value', chr(10), ' * @returns {number} more', chr(10), ' */', chr(10), 'export function add', CAST(doc_id AS STRING), '(a) {}', chr(10))
-  ELSE concat('def run', CAST(doc_id AS STRING), '(a):', chr(10), '    \"\"\"Runs it.', chr(10), chr(10), '    Args:', chr(10), '        a (int): how often', chr(10), '    Returns:', chr(10), '        the result', chr(10), '    \"\"\"', chr(10)) END AS content
+  CASE doc_id % 6
+  WHEN 0 THEN concat('/** Adds one.', chr(10), ' * @param {number} a - the value', chr(10), ' * @returns {number} more', chr(10), ' */', chr(10), 'export function add', CAST(doc_id AS STRING), '(a) {}', chr(10))
+  WHEN 1 THEN concat('def run', CAST(doc_id AS STRING), '(a):', chr(10), '    \"\"\"Runs it.', chr(10), chr(10), '    Args:', chr(10), '        a (int): how often', chr(10), '    Returns:', chr(10), '        the result', chr(10), '    \"\"\"', chr(10))
+  WHEN 2 THEN concat('/** Shape.', chr(10), ' * with two lines', chr(10), ' * @since 2', chr(10), ' */', chr(10), 'export interface S', CAST(doc_id AS STRING), ' {}', chr(10))
+  WHEN 3 THEN concat('class K', CAST(doc_id AS STRING), '(Base):', chr(10), '    \"\"\"Holds.', chr(10), chr(10), '    Examples:', chr(10), '        K()', chr(10), '        K(1)', chr(10), '    Note:', chr(10), '        none', chr(10), '    \"\"\"', chr(10))
+  WHEN 4 THEN concat(chr(10), '/** An alias. */', chr(10), 'type T', CAST(doc_id AS STRING), ' = string;', chr(10), '/** Plain', chr(10), ' */', chr(10), 'const v', CAST(doc_id AS STRING), ' = 1;', chr(10))
+  ELSE concat('def bare', CAST(doc_id AS STRING), '(a):', chr(10), '    return a', chr(10)) END AS content
 FROM {documents}""",
     "search_src": "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, substring(coalesce(text, ''), 1, 5000) AS body FROM {documents}",
 }

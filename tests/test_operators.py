@@ -165,6 +165,23 @@ def test_docstrings(spark):
     assert got["add"].returns == "number: sum" and got["add"].params[0].description == "first" and got["K"].type == "class" and got["K"].line == 7
 
 
+def test_docstring_odd_files(spark):
+    rows = [
+        ("a.py", None),
+        ("b.ts", ""),
+        ("c.go", "/** x */\nclass A {}"),
+        (None, "/** x */\nclass A {}"),
+        ("d.js", "/** One */ const a = 1;\n\n/** Two\r\n * @param {string} b no dash\n * @param c\n * @return {T} r\n * @example\n * use(b)\n */\nasync function two() {}"),
+        ("e.PY", "import x\n\nasync def f(a):\n    '''Says.\n    Params:\n        x.y: z: w\n        plain\n    Yields:\n        a\n        b'''\n\nclass C:\n    \"\"\"\"\"\"\n"),
+    ]
+    got = {r.name: r for r in docstrings.entries(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert set(got) == {"a", "two", "f", "C"}
+    two, f = got["two"], got["f"]
+    assert (two.line, two.description, two.returns) == (3, "Two use(b)", "T: r") and [tuple(p) for p in two.params] == [("b", "string", "no dash")]
+    assert (f.line, f.description, f.returns, f.examples) == (2, "Says.", "b", []) and [tuple(p) for p in f.params] == [("y", "Any", "z: w")]
+    assert (got["C"].description, got["C"].params, got["C"].returns, got["C"].line) == ("", [], None, 11)
+
+
 def test_projects(spark):
     rows = spark.createDataFrame([("p", "Gem.gemspec", 'spec.version = "1.2"'), ("p", "sub/package.json", "{}"), ("q", "package.json", '{"devDependencies": {"vue": "3"}}')], "project string, path string, content string")
     assert {(r.project, r.language) for r in projects.languages(rows).collect()} == {("p", "ruby"), ("q", "javascript")}
