@@ -8,6 +8,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of two or three numbers that one task takes easily.
+ROWS_A_PARTITION = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # workers find this package where the driver's working directory is another one
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -15,14 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, lengthened until the documents have no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a plan that reads it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in local tests, a temporary folder is taken.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is
+    unset, a local session takes a temporary folder and any other raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, in as few partitions as that number asks for: what
+    reads it next then starts few tasks. Tables of many rows stay as they are."""
+    parts = max(1, -(-rows // ROWS_A_PARTITION))
+    return df.coalesce(parts)

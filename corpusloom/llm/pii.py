@@ -6,8 +6,10 @@ values stay distinct:
 
 * payment cards (13 to 19 digits, or four groups of four, that pass the Luhn test): all
   digits but the last are permuted, the check digit is computed anew;
-* telephone numbers (+1 (ddd) ddd-dddd, ddd-ddd-dddd): the ten digits are permuted;
-* social-security numbers (ddd-dd-dddd, no all-zero group): the nine digits are permuted;
+* telephone numbers (+1 (ddd) ddd-dddd, ddd-ddd-dddd): those whose area and exchange start
+  with 2 to 9 are permuted among themselves, and so are the others;
+* social-security numbers (ddd-dd-dddd, area 001 to 899 but not 666, no all-zero group)
+  are permuted by their rank among all such numbers;
 * IPv4 addresses (octets up to 255): the 32 bits are permuted;
 * dates of the years 1800 to 2199 (yyyy-mm-dd, dd/mm/yyyy): the day is permuted within
   these 400 years, 146,097 = 189 * 773 days, on the two residues.
@@ -16,7 +18,11 @@ E-mail addresses and hexadecimal secrets (32 digits or more) have no validated n
 they take keyed hashes in their alphabet. Values that fail validation stay as they are.
 
 Feistel rounds add SHA-256 of (key, format, round, other half) to one half, modulo the
-size of that half's range; adding is invertible, so each format is permuted onto itself.
+size of that half's range; adding is invertible, so each format is permuted onto itself,
+and a pseudonym passes the validation that its value passed.
+
+The key is required. It is a literal of the plan: whoever may read plans and event logs of
+the job may read the key.
 
 Defined results: a null text stays null, an empty one empty, both with no value found.
 Repeated rows are rewritten alike. All other columns stay.
@@ -24,11 +30,12 @@ Repeated rows are rewritten alike. All other columns stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import unused
+
 ROUNDS = 8
-DEFAULT_KEY = "demonstration key: pass your own"
 
 # every alternative starts only where a run of its characters starts: linear time
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -95,6 +102,34 @@ def permute_digits(key: str, kind: str, digits: Column) -> Column:
     return let(F.struct(digits.alias("digits"), n.alias("n"), F.floor(n / 2).cast("int").alias("a")), permuted)
 
 
+def padded(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
+def permute_social(key: str, digits: Column) -> Column:
+    """A keyed permutation of the valid nine-digit numbers: 898 areas, 99 groups, 9,999
+    serials."""
+    part = lambda at, n: F.substring(digits, at, n).cast("long")
+    area = part(1, 3) - F.when(part(1, 3) > 666, 2).otherwise(1)
+    pair = feistel(key, "social", area, (part(4, 2) - 1) * 9999 + part(6, 4) - 1, F.lit(898), F.lit(99 * 9999))
+    back = lambda a: a + F.when(a >= 665, 2).otherwise(1)
+    return let(pair, lambda p: F.concat(padded(back(p["left"]), 3), padded(F.floor(p["right"] / 9999) + 1, 2), padded(p["right"] % 9999 + 1, 4)))
+
+
+def permute_phone(key: str, digits: Column) -> Column:
+    """A keyed permutation of ten-digit numbers: of the 800 * 800 * 10**4 whose area and
+    exchange are at least 200, and of the 60,000**2 others."""
+    area, exchange, line = (F.substring(digits, at, n).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+    dialled = feistel(key, "phone", area - 200, (exchange - 200) * 10_000 + line, F.lit(800), F.lit(8_000_000))
+    valid = let(dialled, lambda p: F.concat(padded(p["left"] + 200, 3), padded(p["right"] + 2_000_000, 7)))
+    # the others in order: areas below 200, then exchanges below 200 of the other areas
+    low = 200 * 1000 * 10_000
+    rank = F.when(area < 200, (area * 1000 + exchange) * 10_000 + line).otherwise(low + ((area - 200) * 200 + exchange) * 10_000 + line)
+    moved = let(rank, lambda r: feistel(key, "other phone", F.floor(r / 60_000), r % 60_000, F.lit(60_000), F.lit(60_000)))
+    number = let(let(moved, lambda p: p["left"] * 60_000 + p["right"]), lambda r: F.when(r < low, r).otherwise(F.floor((r - low) / 2_000_000 + 200) * 10_000_000 + (r - low) % 2_000_000))
+    return F.when((area >= 200) & (exchange >= 200), valid).otherwise(padded(number, 10))
+
+
 def refill(value: Column, digits: Column) -> Column:
     """``value`` with its digits replaced, in order, by ``digits``."""
     one = lambda i: F.substring(value, i, F.lit(1))
@@ -143,25 +178,34 @@ def pseudonym(key: str, value: Column) -> Column:
         F.when(value.contains("@"), let(name, lambda n: F.concat(F.lit("u"), F.substring(n, 1, 12), F.lit("@m"), F.substring(n, 13, 8), F.lit(".invalid"))))
         .when(whole(DATE), let(F.unix_date(read) - FIRST_DAY, moved))
         .when(whole(ADDRESS), F.when(F.forall(octets, lambda o: o <= 255), address))
-        .when(whole(SOCIAL), F.when(~value.rlike("^000|-00-|-0000$"), refill(value, permute_digits(key, "social", digits))))
-        .when(whole(PHONE), F.when(value.startswith("+"), refill(value, F.concat(F.lit("1"), permute_digits(key, "phone", F.substring(digits, 2, 10))))).otherwise(refill(value, permute_digits(key, "phone", digits))))
+        .when(whole(SOCIAL), F.when(~value.rlike("^(?:000|666|9)|-00-|-0000$"), refill(value, permute_social(key, digits))))
+        .when(whole(PHONE), F.when(value.startswith("+"), refill(value, F.concat(F.lit("1"), permute_phone(key, F.substring(digits, 2, 10))))).otherwise(refill(value, permute_phone(key, digits))))
         .when(whole(CARD), F.when(luhn_sum(digits, 0) % 10 == 0, card))
         .otherwise(let(secret, lambda s: F.when(value == F.upper(value), F.upper(s)).otherwise(s)))
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with private values in ``text`` replaced; all other columns stay.
 
     ``count`` names a column to add: the number of values replaced (long). Texts without
     a match are passed through. No shuffle."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text")
+    at = unused(docs, "found")
     found = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda m: F.struct(m.alias("value"), pseudonym(key, m).alias("to")))
     hit = F.coalesce(text.contains("@") | text.rlike(LIKELY[0]) | text.rlike(LIKELY[1]), F.lit(False))
-    rows = docs.withColumn("__found", F.when(hit, found))
-    filled = F.concat(F.transform(F.col("__found"), lambda m: F.coalesce(m["to"], m["value"])), F.array(F.lit("")))
+    rows = docs.withColumn(at, F.when(hit, found))
+    filled = F.concat(F.transform(F.col(at), lambda m: F.coalesce(m["to"], m["value"])), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split(text, ANY, -1), filled, lambda between, value: F.concat(between, value)), "")
-    rows = rows.withColumn("text", F.when(F.col("__found").isNotNull(), joined).otherwise(text))
+    rows = rows.withColumn("text", F.when(F.col(at).isNotNull(), joined).otherwise(text))
     if count:
-        rows = rows.withColumn(count, F.when(F.col("__found").isNull(), F.lit(0)).otherwise(F.size(F.filter("__found", lambda m: m["to"].isNotNull()))).cast("long"))
-    return rows.drop("__found")
+        rows = rows.withColumn(count, F.when(F.col(at).isNull(), F.lit(0)).otherwise(F.size(F.filter(at, lambda m: m["to"].isNotNull()))).cast("long"))
+    return rows.drop(at)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key named by ``corpusloom.pii.key`` in the session. The registered queries run
+    over synthetic values; only for them a session without a key takes a public one."""
+    return spark.conf.get("corpusloom.pii.key", "public key for synthetic tables")

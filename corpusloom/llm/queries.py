@@ -33,7 +33,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, count="n_replaced")
+    return pii.pseudonymise(docs, pii.session_key(spark), count="n_replaced")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
