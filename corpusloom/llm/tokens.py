@@ -11,7 +11,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,11 +102,12 @@ def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def truncated_totals(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """Corpus size for each context limit. A limit between two lengths takes the suffix
-    sums of the next longer one: sum(min(length, limit))."""
-    limit: Column = F.explode(F.array(*(F.lit(x).cast("long") for x in limits))).alias("context_limit")
-    over = F.col("n_tokens") > F.col("context_limit")
-    kept = F.col("n_docs") * F.least("n_tokens", "context_limit")
-    return hist.select("*", limit).groupBy("context_limit").agg(
-        F.sum(kept).alias("truncated_total"), F.count_if(over).alias("lengths_over"), F.coalesce(F.sum(F.when(over, F.col("n_docs"))), F.lit(0)).alias("docs_over")
-    )
+    """Corpus size for each context limit, sum(min(length, limit)), and the documents over it.
+
+    A limit takes the suffix sums of the next longer length that occurs; one aggregation
+    finds those of all limits. Of an empty histogram both are 0."""
+    next_longer = lambda x: F.min(F.when(F.col("n_tokens") > x, F.struct("n_tokens", "docs_at_least", "tokens_at_least")))
+    found = hist.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total"), F.array(*(F.struct(F.lit(x).cast("long").alias("context_limit"), next_longer(x).alias("next")) for x in limits)).alias("limits"))
+    docs, in_docs = (F.coalesce(F.col(f"q.next.{c}"), F.lit(0)) for c in ("docs_at_least", "tokens_at_least"))
+    rows = found.select("total", F.explode("limits").alias("q"))
+    return rows.select(F.col("q.context_limit"), (F.col("total") - in_docs + docs * F.col("q.context_limit")).alias("truncated_total"), docs.alias("docs_over"))
