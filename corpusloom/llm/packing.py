@@ -22,6 +22,8 @@ from .tokens import encoder
 ROW_LENGTH = 2048
 #: A block is packed when it holds so many tokens: bounds a task's memory.
 BLOCK_TOKENS = 1 << 21
+#: What fills a row behind its tokens.
+PAD_ID = 0
 
 PACKED = (
     "block long, row long, n_tokens int, ids binary, cu_seqlens array<int>, doc_ids array<long>, "
@@ -78,14 +80,16 @@ def best_fit_decreasing(lengths: list[int], row_length: int) -> list[list[int]]:
     return rows
 
 
-def _pack_block(block: int, pieces: list[tuple[int, int, np.ndarray]], row_length: int) -> pa.RecordBatch:
+def _pack_block(block: int, pieces: list[tuple[int, int, np.ndarray]], row_length: int, pad: int) -> pa.RecordBatch:
     rows = best_fit_decreasing([len(p[2]) for p in pieces], row_length)
     out: dict[str, list] = {k: [] for k in ("n_tokens", "ids", "cu_seqlens", "doc_ids", "doc_offsets", "resets")}
     for members in rows:
         own = [pieces[i] for i in members]
         ends = np.cumsum([len(p[2]) for p in own]).tolist()
         out["n_tokens"].append(ends[-1])
-        out["ids"].append(b"".join(p[2].tobytes() for p in own))
+        line = np.full(row_length, pad, own[0][2].dtype)
+        line[: ends[-1]] = np.concatenate([p[2] for p in own])
+        out["ids"].append(line.tobytes())
         out["cu_seqlens"].append([0, *ends])
         out["doc_ids"].append([p[0] for p in own])
         out["doc_offsets"].append([p[1] for p in own])
@@ -97,11 +101,14 @@ def _pack_block(block: int, pieces: list[tuple[int, int, np.ndarray]], row_lengt
     )
 
 
-def pack(docs: DataFrame, ranks: str, row_length: int = ROW_LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Packed rows. ``ids`` is a row of the id matrix (little-endian unsigned 16-bit, or
-    32-bit where the vocabulary needs it); segment k of a row is ids[cu_seqlens[k] :
+def pack(docs: DataFrame, ranks: str, row_length: int = ROW_LENGTH, block_tokens: int = BLOCK_TOKENS, pad: int = PAD_ID) -> DataFrame:
+    """Packed rows. ``ids`` is a row of the id matrix: ``row_length`` little-endian unsigned
+    16-bit numbers (32-bit where the vocabulary needs it), those from ``n_tokens`` on being
+    ``pad``; segment k of a row is ids[cu_seqlens[k] :
     cu_seqlens[k + 1]], tokens doc_offsets[k]... of document doc_ids[k]; ``resets`` are the
-    positions at which position ids start again from 0. (block, row) is unique."""
+    positions at which position ids start again from 0. (block, row) is unique.
+    Which pieces meet in a block follows the partitions of ``docs``: other file splits pack
+    the same pieces into other rows."""
 
     def rows(batches):
         from pyspark import TaskContext
@@ -120,10 +127,10 @@ def pack(docs: DataFrame, ranks: str, row_length: int = ROW_LENGTH, block_tokens
                     pieces.append((doc, at, ids[at : at + row_length]))
                 held += len(ids)
                 if held >= block_tokens:
-                    yield _pack_block((part << 32) + number, pieces, row_length)
+                    yield _pack_block((part << 32) + number, pieces, row_length, pad)
                     pieces, held, number = [], 0, number + 1
         if pieces:
-            yield _pack_block((part << 32) + number, pieces, row_length)
+            yield _pack_block((part << 32) + number, pieces, row_length, pad)
 
     return docs.select("doc_id", "text").mapInArrow(rows, PACKED)
 
