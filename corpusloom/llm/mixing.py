@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .io import unused
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_REPEATS = 2.0
@@ -66,10 +68,11 @@ def position(offset: Column, target: Column, slope: Column) -> Column:
 
 def schedule(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, the words of each
-    pass (``first_words``, ``second_words``) and the training positions of both."""
+    pass (``first_words``, ``second_words``) and the training positions of both; and
+    ``text_hash``, by which the documents of one id find their own row."""
     # the first 60 bits of MD5: a fixed order that other engines can follow
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("source"))), 1, 15), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", sizes(F.col("text")).alias("size"), order.alias("draw"))
+    rows = docs.select("doc_id", "source", sizes(F.col("text")).alias("size"), order.alias("draw"), F.xxhash64("text").alias("text_hash"))
     rows = rows.withColumn("bucket", F.pmod("draw", F.lit(BUCKETS)))
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     own = Window.partitionBy("source")
@@ -90,40 +93,42 @@ def schedule(docs: DataFrame) -> DataFrame:
         "first_words", "second_words",
         taken_at("first_words", first).alias("first_position"),
         taken_at("second_words", first + F.col("source_size")).alias("second_position"),
+        "text_hash",
     )
 
 
 def in_order(rows: DataFrame, at: str) -> DataFrame:
     """Range-sorts rows by position; those without one come last."""
     key = F.struct(F.coalesce(F.col(at), F.lit(2.0)), F.xxhash64("doc_id"))  # the hash spreads those without
-    return rows.withColumn("__at", key).repartitionByRange("__at").sortWithinPartitions("__at").drop("__at")
+    place = unused(rows, "at")
+    return rows.withColumn(place, key).repartitionByRange(place).sortWithinPartitions(place).drop(place)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The documents of the mix, with all their columns, in training order: a document
     once for each pass that takes it; a pass that takes only its first words cuts it there.
 
-    Documents without words are no part of any demand and stay, once, at the end."""
-    plan = schedule(docs).groupBy("doc_id", "source", "size").agg(
-        F.array_sort(F.collect_list(F.struct("first_position", "first_words", "second_position", "second_words"))).alias("__plans")
-    )  # equal rows, which alone share a key, hold their plans together
-    own = Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text"))
-    names = [F.col(c) for c in docs.columns]
-    sized = docs.withColumn("__size", sizes(F.col("text")))
-    plan = plan.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__n"), "__plans")
-    joined = sized.withColumn("__copy", F.row_number().over(own)).join(
-        plan, F.col("doc_id").eqNullSafe(F.col("__doc")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n"))
-    )
-    own_plan = F.element_at("__plans", F.col("__copy"))
-    take = lambda k: F.struct(own_plan[f"{k}_position"].alias("position"), own_plan[f"{k}_words"].alias("words"))
-    takes = F.filter(F.array(take("first"), take("second")), lambda t: t["words"] > 0)
-    takes = F.when(F.col("__size") == 0, F.array(F.struct(F.lit(2.0).alias("position"), F.lit(0).cast("long").alias("words")))).otherwise(takes)
-    rows = joined.select(*names, "__size", F.explode(takes).alias("__take"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__take.words").cast("int")), "")
-    text = F.when(F.col("__take.words") < F.col("__size"), cut).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("__at", F.struct("__take.position", F.xxhash64("doc_id")))
+    Documents without words are no part of any demand and stay, once, at the end. Rows
+    equal in doc_id, source and text are numbered, and each number takes one row of the
+    schedule: such copies are interchangeable."""
+    doc, source, text_hash, nth, size, take, at = (unused(docs, n) for n in ("doc", "from_source", "text_hash", "nth", "size", "take", "at"))
+    key = ("doc_id", "source", "text_hash")
+    numbered = F.row_number().over(Window.partitionBy(*key).orderBy("first_position", "first_words", "second_position"))
+    plan = schedule(docs).select(
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("text_hash").alias(text_hash), numbered.alias(nth), F.col("size").alias(size),
+        F.array(*(F.struct(F.col(f"{k}_position").alias("position"), F.col(f"{k}_words").alias("words")) for k in ("first", "second"))).alias(take),
+    )
+    copy, own_hash = unused(docs, "copy"), unused(docs, "own_hash")
+    own = docs.withColumn(own_hash, F.xxhash64("text"))
+    own = own.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id", "source", own_hash).orderBy(own_hash)))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(own_hash) == F.col(text_hash)) & (F.col(copy) == F.col(nth))
+    once = F.array(F.struct(F.lit(2.0).alias("position"), F.lit(0).cast("long").alias("words")))
+    takes = F.when(F.col(size) == 0, once).otherwise(F.filter(take, lambda t: t["words"] > 0))
+    rows = own.join(plan, same).select(*(F.col(c) for c in docs.columns), size, F.explode(takes).alias(take))
+    words = F.col(f"{take}.words")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
+    rows = rows.withColumn("text", F.when(words < F.col(size), cut).otherwise(F.col("text"))).withColumn(at, F.struct(F.col(f"{take}.position"), F.xxhash64("doc_id")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__take.words") < F.col("__size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    rows = rows.repartitionByRange("__at").sortWithinPartitions("__at")
+        rows = rows.withColumn("n_chars", F.when(words < F.col(size), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    rows = rows.repartitionByRange(at).sortWithinPartitions(at)
     return rows.select(*docs.columns)
-
