@@ -17,6 +17,8 @@ are scored each. Extra columns are ignored, never used as inputs.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -99,20 +101,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
-    """Rows (feature, z, n) of the model, in the shared checkpoint folder."""
+    """Rows (feature, z, n) of the model, in the shared checkpoint folder.
+
+    Rows of ``docs`` that repeat an id and a text train once; an id with several texts
+    trains each."""
 
     def featurise(batches):
+        seen = set()  # of the sample's rows only
         for batch in batches:
-            coords = [features(b).astype(np.int32) for b in kern.byte_rows(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(coords, pa.list_(pa.int32()))], ["doc_id", "label", "shard", "coords"])
+            first, coords = [], []
+            for k, (doc, label, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), kern.byte_rows(batch.column(3)), strict=True)):
+                row = doc, label, hashlib.sha256(raw).digest()
+                if row not in seen:
+                    seen.add(row)
+                    first.append(k)
+                    coords.append(features(raw).astype(np.int32))
+            kept = batch.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2), pa.array(coords, pa.list_(pa.int32()))], ["doc_id", "label", "shard", "coords"])
 
     rows = training_rows(docs, labels, usable).select(F.col("doc_id").cast("long").alias("doc_id"), "label", "shard", "text")
     rows = rows.mapInArrow(featurise, "doc_id long, label int, shard int, coords array<int>")
 
     def learn_shard(data: pd.DataFrame) -> pd.DataFrame:
         z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-        own = data.sort_values(["doc_id", "label"])
-        items = [(np.asarray(c), int(y)) for c, y in zip(own["coords"], own["label"], strict=True)]
+        own = {(d, y, np.asarray(c).tobytes()): (np.asarray(c), int(y)) for d, y, c in zip(data["doc_id"], data["label"], data["coords"], strict=True)}
+        items = [own[key] for key in sorted(own)]
         for turn in range(EPOCHS):
             np.random.default_rng(turn).shuffle(items)
             learn(items, z, n)
