@@ -53,8 +53,9 @@ g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FR
 s AS (SELECT doc_id, run, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY doc_id, run),
 q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
 r AS (SELECT q.doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, string_agg(hex(b[before + 1:a - 1]), '' ORDER BY a) AS kept, max(z) AS last FROM q JOIN d ON d.doc_id = q.doc_id GROUP BY q.doc_id)
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(concat(coalesce(kept, ''), hex(b[coalesce(last, 0) + 1:n])))) AS kept_sha256 FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256, CAST(length(regexp_replace(rest, '[89AB].|(.).', '\1', 'g')) AS BIGINT) AS n_kept_chars FROM (
+  SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    concat(coalesce(kept, ''), hex(b[coalesce(last, 0) + 1:n])) AS rest FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
 """
 
 ORACLES = {"op1_suffix_dedup": OP1, "op4_jaccard_join": OP4, "op8_quality_rules": OP8, "op9_mixing": OP9}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import kern
 from .io import cut
-from .jaccard import FILTER_BITS, wanted_filter
+from .jaccard import passes, wanted_filter
 
 LENGTH = 400
 GRAM, SPREAD = 32, 256
@@ -100,19 +100,24 @@ def split(sums: np.ndarray, anchor: np.ndarray, near: np.ndarray, far: np.ndarra
     return core, whole, inside, a, np.maximum(low, near[of]), np.minimum(high, far[of])
 
 
+def characters(raw: np.ndarray) -> int:
+    """Bytes that start a character: the others are 10xxxxxx."""
+    return int(np.count_nonzero((raw & 0xC0) != 0x80))
+
+
 def described(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, cls, check, sha256 of every document."""
+    """doc_id, n_bytes, n_chars, cls, check, sha256 of every document."""
 
     def rows(batches):
         for batch in batches:
-            found = [(len(b), *digest_id(b)) for b in kern.byte_rows(batch.column(1))]
-            columns = list(zip(*found, strict=True)) or [(), (), (), ()]
+            found = [(len(b), characters(b), *digest_id(b)) for b in kern.byte_rows(batch.column(1))]
+            columns = list(zip(*found, strict=True)) or [(), (), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
-                ["doc_id", "n_bytes", "cls", "check", "sha256"],
+                [batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))],
+                ["doc_id", "n_bytes", "n_chars", "cls", "check", "sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, cls long, check long, sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, n_chars long, cls long, check long, sha256 string")
 
 
 def _items(core, whole, inside, cls, anchor, near, far) -> pa.RecordBatch:
@@ -153,15 +158,14 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(wanted_filter(wanted))
 
     def rows(batches):
-        table, seen = shared.value, set()
+        (table, shift), seen = shared.value, set()
         for batch in batches:
             ids, raws = [], []
             for buf in kern.byte_rows(batch.column(0)):
                 if len(buf) < LENGTH:
                     continue
                 cls, _, _ = digest_id(buf)
-                at = (cls & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
-                if table[at >> 5] >> np.uint32(at & 31) & 1 and cls not in seen:
+                if cls not in seen and passes(table, shift, cls):
                     seen.add(cls)
                     ids.append(cls)
                     raws.append(buf.tobytes())
@@ -211,7 +215,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(cls, starts, ends): spans of each text whose LENGTH-byte strings occur again."""
     spans, items = settle(first_ranks(docs), False)
     for cell in CELLS:
-        more, items = settle(next_ranks(docs, items, cell), cell == 1)
+        # written first: both their counts and the join read them, and texts are read once
+        more, items = settle(cut(next_ranks(docs, items, cell)), cell == 1)
         spans = spans.unionAll(more)
     return spans.groupBy("cls").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
@@ -224,7 +229,8 @@ def kept_mask(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept_chars of every document;
+    the last counts the characters that start in a byte that stays."""
     base = cut(described(docs))
     known = cut(base.groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.max("n_bytes").alias("n")))
     if not known.where("lo <> hi").isEmpty():
@@ -237,15 +243,16 @@ def dedup(docs: DataFrame) -> DataFrame:
             for buf, starts, ends in zip(kern.byte_rows(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 kept = kept_mask(len(buf), starts.values.to_numpy(), ends.values.to_numpy())
                 runs = np.count_nonzero(np.diff(kept.astype(np.int8), prepend=1) == -1)
-                out.append((int(len(buf) - kept.sum()), int(runs), hashlib.sha256(buf[kept].tobytes()).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["cls", "n_removed", "n_spans", "kept"])
+                rest = buf[kept]
+                out.append((len(buf) - len(rest), int(runs), hashlib.sha256(rest.tobytes()).hexdigest(), characters(rest)))
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True))], ["cls", "n_removed", "n_spans", "kept", "kept_chars"])
 
     texts = wanted_texts(docs, spans.select("cls"))
-    cleaned = texts.join(spans, "cls").select("cls", "raw", "starts", "ends").mapInArrow(rows, "cls long, n_removed long, n_spans long, kept string")
+    cleaned = texts.join(spans, "cls").select("cls", "raw", "starts", "ends").mapInArrow(rows, "cls long, n_removed long, n_spans long, kept string, kept_chars long")
     # a text that occurs again as a whole goes as a whole
-    again = known.where(f"copies > 1 and n >= {LENGTH}").select("cls", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
+    again = known.where(f"copies > 1 and n >= {LENGTH}").select("cls", F.col("n").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"), F.lit(0).cast("long").alias("kept_chars"))
     changed = cleaned.unionAll(again)
     return base.join(changed, "cls", "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256")
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept", "sha256").alias("kept_sha256"), F.coalesce("kept_chars", "n_chars").alias("n_kept_chars"),
     )
