@@ -74,6 +74,7 @@ EXPORTS = {
     "ruby": (r"\bdef\s+(?:self\.)?(\w+)", r"\bclass\s+(\w+)"),
     "php": (r"\b(?:public|private|protected)\s+(?:static\s+)?function\s+(\w+)\s*\(", r"\bclass\s+(\w+)", r"\binterface\s+(\w+)"),
 }
+# Directories whose children are modules.
 SOURCE_ROOTS = ("src", "lib", "app", "packages", "modules", "components", "services", "core")
 
 # Substrings of a module name -> category, in order.
@@ -106,6 +107,7 @@ HINTS = (
     ("logger|metrics|monitor|telemetry", "Observability or monitoring module"),
     ("cli|command|runner|executor", "CLI or command execution module"),
 )
+# Hints from numbers.
 HINT_EXPORTS = "Large public API surface — consider organizing into sub-modules"
 HINT_DEPENDED = "Widely depended upon — treat as stable public API"
 HINT_ENTRY = "Entry module with many dependencies — central orchestration point"
@@ -132,8 +134,50 @@ LABELS = {
     "de": ("Inhaltsverzeichnis", "Startseite", "Module", "API-Referenz"),
 }
 
+# Labels of the first pages, by language.
+FIRST_PAGES = {
+    "zh": ("快速开始", "架构概览"),
+    "en": ("Getting Started", "Architecture"),
+    "ja": ("はじめに", "アーキテクチャ"),
+    "ko": ("시작하기", "아키텍처"),
+    "fr": ("Démarrage rapide", "Architecture"),
+    "de": ("Schnellstart", "Architektur"),
+}
+
 # Other names of languages.
 ALIASES = {
     "javascript": ("js", "typescript", "ts", "nodejs", "node", "node.js"), "python": ("py", "python3"), "go": ("golang", "go-lang"), "rust": ("rs", "rust-lang"),
     "java": ("jdk", "jvm", "kotlin", "scala"), "ruby": ("rb",), "php": (), "dotnet": ("csharp", "c#", "vbnet", "vb.net", "fsharp", "f#", "aspnet", "asp.net"),
 }
+
+# Badge colours.
+BADGE_COLORS = {"blue": "#007ec6", "green": "#4c1", "brightgreen": "#44cc11", "yellow": "#dfb317", "orange": "#fe7d37", "red": "#e05d44", "lightgrey": "#9f9f9f", "gray": "#555"}
+# A project's settings where it has none.
+DEFAULT_SETTINGS = {"language": "zh", "exclude": (), "use_gitignore": True}
+
+
+def code_endings() -> tuple[str, ...]:
+    return (*LANGUAGE_OF, *MORE_CODE)
+
+
+def register_language(name: str, endings: tuple[str, ...], *, aliases=(), excluded=(), imports=(), resolve=((), ()), exports=()) -> None:
+    """Adds a language to the rule tables, which every operator reads when it makes a plan.
+
+    ``imports`` and ``exports`` are patterns whose group 1 is the specifier or name;
+    ``resolve`` has the endings and the directory files tried for an import. A name that
+    is known already is an error, as is an ending that another language has."""
+    taken = [e for e in endings if e in LANGUAGE_OF]
+    if name in ALIASES or taken:
+        raise ValueError(f"{name}: this language or one of its endings is registered: {taken}")
+    LANGUAGE_OF.update(dict.fromkeys(endings, name))
+    ALIASES[name] = tuple(aliases)
+    EXCLUDED_BY[name] = tuple(excluded)
+    IMPORTS[name], EXPORTS[name], RESOLVE[name] = tuple(imports), tuple(exports), tuple(resolve)
+
+
+def forget_language(name: str) -> None:
+    """Takes a registered language out of the rule tables again."""
+    for ending in [e for e, of in LANGUAGE_OF.items() if of == name]:
+        del LANGUAGE_OF[ending]
+    for table in (ALIASES, EXCLUDED_BY, IMPORTS, EXPORTS, RESOLVE):
+        table.pop(name, None)

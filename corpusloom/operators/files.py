@@ -9,7 +9,7 @@ from ..functions import paths, rules
 
 
 def is_code(path: Column) -> Column:
-    return paths.extension(path).isin(*rules.CODE)
+    return paths.extension(path).isin(*rules.code_endings())
 
 
 def is_doc(path: Column) -> Column:
@@ -55,6 +55,32 @@ def modules(files: DataFrame) -> DataFrame:
     return code.where("module <> ''").groupBy("root", "module").agg(F.count(F.lit(1)).alias("n_files"))
 
 
+def discover(files: DataFrame) -> DataFrame:
+    """``modules``; where no source root holds any, the visible root directories with code."""
+    found = modules(files)
+    own = F.regexp_extract("path", "^([^./][^/]*)/", 1)
+    roots = files.where(is_code(F.col("path"))).select(F.lit("").alias("root"), own.alias("module")).where("module <> ''")
+    roots = roots.groupBy("root", "module").agg(F.count(F.lit(1)).alias("n_files"))
+    # one row at most decides between the two
+    return found.unionAll(roots.join(F.broadcast(found.select(F.lit(1).alias("any")).limit(1)), F.lit(True), "left_anti"))
+
+
+def settings(files: DataFrame) -> DataFrame:
+    """files(project, content) -> project, language, exclude, use_gitignore of each project.
+
+    ``content`` is a project's settings as JSON, null where it has none. A field that is
+    missing, null or (``exclude``) no list takes its default, and so do all where the text
+    is no JSON."""
+    text, base = F.col("content"), rules.DEFAULT_SETTINGS
+    field = lambda name: F.get_json_object(text, f"$.{name}")
+    listed = F.when(field("exclude").startswith("["), F.from_json(field("exclude"), "array<string>"))
+    none = F.array(*map(F.lit, base["exclude"])).cast("array<string>")
+    return files.select(
+        "project", F.coalesce(field("language"), F.lit(base["language"])).alias("language"), F.coalesce(listed, none).alias("exclude"),
+        F.coalesce(field("useGitignore").try_cast("boolean"), F.lit(base["use_gitignore"])).alias("use_gitignore"),
+    )
+
+
 def gitignore_dirs(lines: DataFrame) -> DataFrame:
     """Directory names of ignore-file lines: entries that end in /, or bare names."""
     line = paths.trimmed(F.col("line"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
+from .lineage import cut
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -57,16 +58,22 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """Nodes that import a seed, directly or through others: node, depth, chain.
 
     Breadth first, one join a level with the visited nodes taken out; of the shortest
-    chains the least is kept. ``depth`` is bounded, so the plan is unrolled."""
+    chains the least is kept. From the second level on, fronts are cut to the checkpoint
+    folder: every later level reads them twice, and a plan of all levels would double with
+    each."""
     if not isinstance(depth, int) or depth < 0:
         raise ValueError("depth must be a whole number")
     visited = seeds.select("node").distinct()
+    if depth > 1:
+        visited = cut(visited)
     front = visited.select("node", F.lit(0).cast("long").alias("depth"), F.array(F.col("node").cast("string")).alias("chain"))
     levels = []
     for level in range(1, depth + 1):
         step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("next"), F.concat("chain", F.array(F.col("src").cast("string"))).alias("chain"))
         step = step.groupBy(F.col("next").alias("node")).agg(F.min("chain").alias("chain")).join(visited, "node", "left_anti")
         front = step.select("node", F.lit(level).cast("long").alias("depth"), "chain")
+        if depth > 1:
+            front = cut(front)
         levels.append(front)
         visited = visited.unionAll(front.select("node"))
     if not levels:
@@ -83,8 +90,6 @@ def closure(links: DataFrame, docs: DataFrame, most_rounds: int = 1000) -> DataF
     """All documents that reach one of ``docs`` along links, these included, to a fixpoint.
 
     A frontier loop on the driver; each round is cut to the checkpoint folder."""
-    from .lineage import cut
-
     front = seen = cut(docs.select("node").distinct())
     for _ in range(most_rounds):
         front = cut(links.join(front, F.col("dst") == F.col("node")).select(F.col("src").alias("node")).distinct().join(seen, "node", "left_anti"))

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A plan that reads ``df`` from the folder in spark.checkpoint.dir; a temporary one
-    is set only where that is unset, as in local tests."""
+    """A plan that reads ``df`` from the folder in spark.checkpoint.dir. Where that is
+    unset, a local session takes a temporary folder and any other raises."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
     return df.checkpoint()

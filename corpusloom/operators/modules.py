@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import paths, rules
 
@@ -48,6 +49,16 @@ def exports(files: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def export_samples(files: DataFrame, most: int = 20, samples: int = 10) -> DataFrame:
+    """files(module, path, content) of modules' own directories -> module, n_exports (at
+    most ``most``) and the first ``samples`` names, in order; modules without any have none."""
+    names = exports(files).join(files.select("path", "module").distinct(), "path").select("module", "name").distinct()
+    place = F.row_number().over(Window.partitionBy("module").orderBy("name"))
+    counts = names.groupBy("module").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n_exports"))
+    first = names.withColumn("place", place).where(F.col("place") <= samples).groupBy("module").agg(F.array_sort(F.collect_list("name")).alias("samples"))
+    return counts.join(first, "module")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """edges(src, dst) of files -> module, n_in, n_out, is_entry. A module is a file's first
     two directories; in-degree counts distinct importers from outside."""

@@ -50,11 +50,15 @@ def sidebar(docs: DataFrame) -> DataFrame:
     return files.unionAll(dirs.distinct())
 
 
-def sidebar_json(docs: DataFrame) -> DataFrame:
-    """docs(doc_path, content) -> one JSON text: text and link of every module page, by name."""
+def sidebar_json(docs: DataFrame, lang: str = "en") -> DataFrame:
+    """docs(doc_path, content) -> one JSON text: the fixed first pages, then text and link of
+    every module page, by name; without module pages, the first pages alone."""
+    names = zip((rules.LABELS[lang][1], *rules.FIRST_PAGES[lang]), ("/", "/getting-started", "/architecture"), strict=True)
+    first = F.array(*(F.struct(F.lit(text).alias("text"), F.lit(link).alias("link")) for text, link in names))
     pages = docs.where("doc_path rlike '^modules/[^/]+\\\\.md$'").where(~F.regexp_extract("doc_path", "[^/]*$", 0).isin("index.md", "_index.md"))
     items = pages.agg(F.array_sort(F.collect_list(F.struct(F.regexp_replace("doc_path", r"^(.*)\.md$", "/$1").alias("link"), title(F.col("content"), F.col("doc_path")).alias("text")))).alias("items"))
-    return items.select(F.to_json(F.struct(F.col("items").alias("/modules/"))).alias("json"))
+    own = F.when(F.size("items") > 0, F.transform("items", lambda i: F.struct(i["text"].alias("text"), i["link"].alias("link"))))
+    return items.select(F.to_json(F.struct(first.alias("/"), own.alias("/modules/"))).alias("json"))
 
 
 def search_index(docs: DataFrame, most: int = 5000) -> DataFrame:
@@ -88,5 +92,56 @@ def badge_width(text: Column) -> Column:
     return (wide * 12 + digits * 7 + (F.length(text) - wide - digits) * 6 + 10).cast("long")
 
 
+def badge_color(name: Column) -> Column:
+    """A named colour's value; other names are colours themselves."""
+    table = F.create_map(*(F.lit(x) for pair in rules.BADGE_COLORS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, name), name)
+
+
+# fixed values: the badge's SVG and HTML
+BADGE_SVG = '''<svg xmlns="http://www.w3.org/2000/svg" width="%1$s" height="20" role="img" aria-label="%4$s: %5$s">
+  <title>%4$s: %5$s</title>
+  <linearGradient id="s" x2="0" y2="100%%">
+    <stop offset="0" stop-color="#bbb" stop-opacity=".1"/>
+    <stop offset="1" stop-opacity=".1"/>
+  </linearGradient>
+  <clipPath id="r">
+    <rect width="%1$s" height="20" rx="3" fill="#fff"/>
+  </clipPath>
+  <g clip-path="url(#r)">
+    <rect width="%2$s" height="20" fill="%6$s"/>
+    <rect x="%2$s" width="%3$s" height="20" fill="%7$s"/>
+    <rect width="%1$s" height="20" fill="url(#s)"/>
+  </g>
+  <g fill="#fff" text-anchor="middle" font-family="Verdana,Geneva,DejaVu Sans,sans-serif" text-rendering="geometricPrecision" font-size="110">
+    <text aria-hidden="true" x="%8$s" y="150" fill="#010101" fill-opacity=".3" transform="scale(.1)" textLength="%10$s">%4$s</text>
+    <text x="%8$s" y="140" transform="scale(.1)" fill="#fff" textLength="%10$s">%4$s</text>
+    <text aria-hidden="true" x="%9$s" y="150" fill="#010101" fill-opacity=".3" transform="scale(.1)" textLength="%11$s">%5$s</text>
+    <text x="%9$s" y="140" transform="scale(.1)" fill="#fff" textLength="%11$s">%5$s</text>
+  </g>
+</svg>'''
+BADGE_HTML = '''<span style="display:inline-flex;align-items:center;font-family:Verdana,sans-serif;font-size:11px;line-height:1;white-space:nowrap;">
+  <span style="background:%3$s;color:#fff;padding:3px 6px;border-radius:3px 0 0 3px;">%1$s</span>
+  <span style="background:%4$s;color:#fff;padding:3px 6px;border-radius:0 3px 3px 0;">%2$s</span>
+</span>'''
+
+
+def badge_svg(label: Column, message: Column, color: Column, label_color: Column | None = None) -> Column:
+    left, right = badge_width(label), badge_width(message)
+    back = badge_color(F.lit("gray") if label_color is None else label_color)
+    # ten times the middles of both halves: whole numbers
+    middles = left * 5, left * 10 + right * 5
+    return F.format_string(BADGE_SVG, left + right, left, right, label, message, back, badge_color(color), *middles, (left - 10) * 10, (right - 10) * 10)
+
+
+def badge_markdown(label: Column, message: Column, color: Column) -> Column:
+    data = F.translate(F.base64(F.encode(badge_svg(label, message, color), "UTF-8")), "\r\n", "")
+    return F.concat(F.lit("!["), label, F.lit("](data:image/svg+xml;base64,"), data, F.lit(")"))
+
+
+def badge_html(label: Column, message: Column, color: Column, label_color: Column | None = None) -> Column:
+    return F.format_string(BADGE_HTML, label, message, badge_color(F.lit("gray") if label_color is None else label_color), badge_color(color))
+
+
 def coverage_color(share: Column) -> Column:
     return F.when(share >= 80, "brightgreen").when(share >= 60, "yellow").when(share >= 40, "orange").otherwise("red")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def fingerprint(content: Column) -> Column:
@@ -37,6 +38,15 @@ def summary(changes: DataFrame) -> DataFrame:
     return rows.select("*", F.when(text == "", "No changes").otherwise(text).alias("summary"))
 
 
+def listing(changes: DataFrame, most: int = 10) -> DataFrame:
+    """changes(path, status) -> status, paths, n_more: the first ``most`` paths of each
+    status, in order, and how many follow."""
+    place = F.row_number().over(Window.partitionBy("status").orderBy("path"))
+    first = changes.withColumn("place", place).where(F.col("place") <= most).groupBy("status").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    counts = changes.groupBy("status").count()
+    return first.join(counts, "status").select("status", "paths", F.greatest(F.col("count") - most, F.lit(0)).alias("n_more"))
+
+
 def commit(new: DataFrame, old: DataFrame, now: Column) -> DataFrame:
     """The snapshot to store: deleted paths drop out, first times stay, every row is touched now."""
     kept = old.select("path", "created_at")

@@ -739,7 +739,11 @@ def available_langs(spark, d):
     return translation.available(configs, folders)
 
 
-@query()
+PAGES = f"""{duck("md_docs")}, {TITLED}, pages AS (SELECT doc_path, title FROM tl WHERE regexp_matches(doc_path, '^modules/[^/]+\\.md$'))"""
+
+
+@query(PAGES + """ SELECT concat('{"/":[{"text":"Home","link":"/"},{"text":"Getting Started","link":"/getting-started"},{"text":"Architecture","link":"/architecture"}],"/modules/":[',
+  string_agg(concat('{"text":"', title, '","link":"/', regexp_replace(doc_path, '\\.md$', ''), '"}'), ',' ORDER BY concat('/', regexp_replace(doc_path, '\\.md$', ''))), ']}') AS json FROM pages""")
 def sidebar_json(spark, d):
     return navigation.sidebar_json(fixture(spark, d, "md_docs"))
 
@@ -751,3 +755,52 @@ def walk_files(spark, d):
 
     rows = tree.read_tree(spark, str(Path(__file__).resolve().parents[1]), exclude="__pycache__")
     return rows.select("path", snapshot.fingerprint(F.col("content")).alias("hash"))
+
+
+# -- rows of reports ----------------------------------------------------------
+
+
+@query(
+    duck("tree") + """, t AS (SELECT path FROM tree WHERE regexp_matches(path, '\\.(ts|py|go|TSX|cpp|rs|vue)$') AND NOT regexp_matches(path, '^(src|lib|app|node_modules)/'))
+SELECT '' AS root, regexp_extract(path, '^([^/.][^/]*)/', 1) AS module, count(*) AS n_files FROM t WHERE NOT regexp_matches(path, '\\.TSX$') AND regexp_matches(path, '^[^/.][^/]*/') GROUP BY 2"""
+)
+def discover_modules_fallback(spark, d):
+    """Discovery in a tree without source roots: its root directories."""
+    return files.discover(files.included(fixture(spark, d, "tree").where("not path rlike '^(src|lib|app|node_modules)/'"), EXCLUDE))
+
+
+@query("""SELECT * FROM (VALUES ('a', 'en', 'x,y', false), ('b', 'zh', '', true), ('c', 'zh', '', true), ('d', 'fr', '', true), ('e', 'zh', 'z', true)) v(project, language, exclude, use_gitignore)""")
+def project_settings(spark, d):
+    rows = [("a", '{"language": "en", "exclude": ["x", "y"], "useGitignore": false}'), ("b", None), ("c", "no json"), ("d", '{"language": "fr", "exclude": "no list", "useGitignore": null}'), ("e", '{"exclude": ["z"]}')]
+    found = files.settings(spark.createDataFrame(rows, "project string, content string"))
+    return found.withColumn("exclude", F.array_join("exclude", ","))
+
+
+@query(
+    duck("snap_old", "snap_new") + f""",{DIFF}, n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) AS k FROM d WHERE status <> 'unchanged')
+SELECT status, string_agg(path, ',' ORDER BY path) FILTER (k <= 10) AS paths, greatest(count(*) - 10, 0) AS n_more FROM n GROUP BY status""".replace("n AS (SELECT *", "m AS (SELECT *").replace("FROM n GROUP", "FROM m GROUP")
+)
+def diff_listing(spark, d):
+    old, new = (snapshot.snapshot(fixture(spark, d, name)) for name in ("snap_old", "snap_new"))
+    found = snapshot.listing(snapshot.diff(new, old).where("status <> 'unchanged'"))
+    return found.select("status", F.array_join("paths", ",").alias("paths"), "n_more")
+
+
+@query(
+    duck("code_files") + f""", e AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS module, name FROM ({extracted(rules.EXPORTS, ('javascript', 'python', 'go'))})),
+k AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY name) AS k FROM e)
+SELECT module, least(count(*), 20) AS n_exports, string_agg(name, ',' ORDER BY name) FILTER (k <= 10) AS samples FROM k GROUP BY module"""
+)
+def module_export_samples(spark, d):
+    rows = fixture(spark, d, "code_files").select(F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("module"), "path", "content")
+    return modules.export_samples(rows).select("module", "n_exports", F.array_join("samples", ",").alias("samples"))
+
+
+@query("""SELECT doc_id, concat('<span style="display:inline-flex;align-items:center;font-family:Verdana,sans-serif;font-size:11px;line-height:1;white-space:nowrap;">', chr(10),
+  '  <span style="background:#555;color:#fff;padding:3px 6px;border-radius:3px 0 0 3px;">lang</span>', chr(10),
+  '  <span style="background:', CASE doc_id % 3 WHEN 0 THEN '#007ec6' WHEN 1 THEN '#4c1' ELSE '#123456' END, ';color:#fff;padding:3px 6px;border-radius:0 3px 3px 0;">', lang, '</span>', chr(10), '</span>') AS html
+FROM documents WHERE lang IS NOT NULL""")
+def badge_html(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null")
+    color = F.element_at(F.array(F.lit("blue"), F.lit("green"), F.lit("#123456")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return rows.select("doc_id", navigation.badge_html(F.lit("lang"), F.col("lang"), color).alias("html"))

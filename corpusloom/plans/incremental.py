@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import graph
+from ..operators.lineage import cut
 
 
 @dataclass
@@ -42,10 +43,10 @@ def plan(changes: DataFrame, edges: DataFrame, index: DataFrame, links: DataFram
     implied = by_name(changed, docs).join(pairs, ["doc_path", "source_path"], "left_anti").select("doc_path", F.lit(2).alias("stage"), "source_path")
     reached = graph.impact(edges, changed.select(F.col("path").alias("node")), depth).select("node")
     through = pairs.join(reached, F.col("source_path") == F.col("node")).select("doc_path", F.lit(3).alias("stage"), "source_path")
-    first = direct.unionAll(implied).unionAll(through)
+    first = cut(direct.unionAll(implied).unionAll(through))  # read by the links and by the ranking
     linked = graph.impact(links, first.select(F.col("doc_path").alias("node")), link_depth)
     fourth = linked.select(F.col("node").alias("doc_path"), F.lit(4).alias("stage"), F.element_at("chain", 1).alias("source_path"))
-    affected = ranked(first.unionAll(fourth))
+    affected = cut(ranked(first.unionAll(fourth)))  # read by the preserved documents too
     deleted = pairs.join(gone, F.col("source_path") == F.col("path"), "left_semi").select("doc_path").distinct()
     touched = affected.select("doc_path").unionAll(deleted)
     return Plan(affected, deleted, docs.select("doc_path").distinct().join(touched, "doc_path", "left_anti"))

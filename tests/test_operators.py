@@ -1,11 +1,12 @@
 """Hand-made vectors and properties of the operators."""
 
+import base64
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import paths
+from corpusloom.functions import paths, rules
 from corpusloom.operators import docstrings, documents, files, graph, modules, navigation, projects, snapshot, translation
 from corpusloom.plans import incremental
 from corpusloom.sources import sinks, tree
@@ -219,3 +220,36 @@ def test_stream(spark, tmp_path):
     run()
     assert seen == [[("a", "added"), ("b", "added")], [("a", "modified"), ("b", "deleted"), ("c", "added")]]
     assert sinks.load(spark, str(tmp_path / "nowhere"), "path string").count() == 0
+
+
+def test_badges(spark):
+    svg = one(spark, navigation.badge_svg(F.col("p"), F.lit("90%"), F.lit("red")), p="测a1")
+    assert svg.startswith('<svg xmlns="http://www.w3.org/2000/svg" width="65" height="20" role="img" aria-label="测a1: 90%">')
+    assert '<rect x="35" width="30" height="20" fill="#e05d44"/>' in svg and '<rect width="35" height="20" fill="#555"/>' in svg
+    assert '<text x="175" y="140" transform="scale(.1)" fill="#fff" textLength="250">测a1</text>' in svg and '<text x="500" y="140"' in svg and 'y2="100%"' in svg
+    mark = one(spark, navigation.badge_markdown(F.col("p"), F.lit("90%"), F.lit("red")), p="测a1")
+    head, data = mark.split(";base64,")
+    assert head == "![测a1](data:image/svg+xml" and base64.b64decode(data[:-1]).decode() == svg
+
+
+def test_register_language(spark):
+    rows = spark.createDataFrame([("src/a/x.lua", "local m = require('b.y')\nfunction go() end"), ("b/y.lua", "")], "path string, content string")
+    plain = rows.select(paths.language(F.col("path")).alias("l")).collect()
+    rules.register_language("lua", (".lua",), aliases=("luajit",), excluded=("lua_modules",), imports=(r"require\('([^']+)'\)",), resolve=((".lua",), ("init.lua",)), exports=(r"\bfunction\s+(\w+)",))
+    try:
+        assert {r.l for r in plain} == {None} and {r.l for r in rows.select(paths.language(F.col("path")).alias("l")).collect()} == {"lua"}
+        assert one(spark, paths.canonical_language(F.col("p")), p="LuaJIT") == "lua" and "lua_modules" in files.excluded_names()
+        assert [r.specifier for r in graph.imports(rows).collect()] == ["b.y"] and [r.name for r in modules.exports(rows).collect()] == ["go"]
+        assert rows.where(files.is_code(F.col("path"))).count() == 2
+        with pytest.raises(ValueError):
+            rules.register_language("lua2", (".lua",))
+    finally:
+        rules.forget_language("lua")
+    assert one(spark, paths.language(F.col("p")), p="x.lua") is None
+
+
+def test_discover_prefers_source_roots(spark):
+    rows = spark.createDataFrame([("src/a/x.ts",), ("tools/y.ts",)], "path string")
+    assert [tuple(r) for r in files.discover(rows).collect()] == [("src", "a", 1)]
+    assert [tuple(r) for r in files.discover(rows.where("path like 'tools%'")).collect()] == [("", "tools", 1)]
+    assert files.discover(rows.limit(0)).count() == 0
