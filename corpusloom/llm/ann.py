@@ -1,18 +1,20 @@
 """Nearest neighbours by largest inner product: a hash-prefix forest.
 
 Vectors are dealt by hash to shards of about ``SHARD_ROWS``. A shard holds ``TREES``
-trees; a tree is the sorted array of its vectors' hash strings of ``BITS`` bits, signs of
-random projections after the lift that turns inner products into angles. A query descends
-every tree to its longest-prefix match, then ascends all trees in step, shortening the
-prefix bit by bit, until the matching ranges hold enough candidates; candidates are then
-compared exactly, in double precision, and the shards' best lists are merged.
+trees; a tree is the sorted array of its vectors' hash strings. A string spells a vector's
+``CHARS`` largest coordinates, with their signs, after a random rotation (cross-polytope
+hashing) of the lift that turns inner products into angles. A query descends every tree to
+its longest-prefix match, then ascends all trees in step, shortening the prefix by one
+character, until the matching ranges hold enough candidates; candidates are then compared
+exactly, in double precision, and the shards' best lists are merged.
 
 The stated query set meets all rows in blocks (queries x shard), so no task holds more
 than one shard and one block of queries, however vectors cluster; equal vectors share all
-hash strings and are found together.
+hash strings and are found together. A block has so many queries that a shard's forest is
+built for few of them.
 
-Recall depends on ``SHARE``, the candidates to collect relative to a shard's rows: the
-README gives recall measured against brute force.
+Recall depends on ``TREES``: a prefix of one character holds about 1 in 2 * dimensions of a
+shard's isotropic vectors. The README gives recall and the share of a shard compared.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows without id. Queries meet candidates of their own length only. A row
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 1024
-TREES, BITS = 64, 24
-SHARE = 0.8
-#: Candidates collected at least, a neighbour asked for: small shards are compared nearly in full.
+QUERY_BLOCK = 4096
+TREES, CHARS = 80, 3
+#: Entries to collect from the trees' ranges, relative to a shard's rows.
+SHARE = 0.3
+#: Entries to collect at least, a neighbour asked for: small shards are compared nearly in full.
 FLOOR = 32
 SEED = 97
 FOUND = "query_id long, vec_id long, score double"
@@ -41,20 +44,29 @@ FOUND = "query_id long, vec_id long, score double"
 class Forest:
     """Sorted hash strings of one shard's vectors."""
 
-    def __init__(self, vectors: np.ndarray, trees: int = TREES, bits: int = BITS):
-        self.vectors, self.bits = vectors, bits
+    def __init__(self, vectors: np.ndarray, trees: int = TREES, chars: int = CHARS):
         n, dims = vectors.shape
+        self.vectors, self.chars = vectors, min(chars, dims + 1)
+        self.width = (2 * dims + 1).bit_length()  # bits of a character
         squares = np.einsum("ij,ij->i", vectors, vectors)
-        self.directions = np.random.default_rng(SEED).standard_normal((trees, dims + 1, bits))
-        lifted = np.column_stack((vectors, np.sqrt(np.maximum(squares.max() - squares, 0.0))))
-        keys = self.strings(lifted)
+        random = np.random.default_rng(SEED)
+        self.rotations = [np.linalg.qr(random.standard_normal((dims + 1, dims + 1)))[0] for _ in range(trees)]
+        keys = self.strings(np.column_stack((vectors, np.sqrt(np.maximum(squares.max() - squares, 0.0)))))
         self.order = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.order, 1)
 
     def strings(self, lifted: np.ndarray) -> np.ndarray:
-        """Hash strings as integers, most significant bit first: trees x rows."""
-        place = np.int64(1) << np.arange(self.bits - 1, -1, -1)
-        return np.stack([(lifted @ d > 0) @ place for d in self.directions])
+        """Hash strings as integers, first character highest: trees x rows."""
+        out = np.empty((len(self.rotations), len(lifted)), np.int64)
+        for k, rotation in enumerate(self.rotations):
+            turned = lifted @ rotation
+            size, row = np.abs(turned), np.arange(len(turned))
+            out[k] = 0
+            for _ in range(self.chars):
+                top = size.argmax(axis=1)
+                out[k] = (out[k] << self.width) + 2 * top + (turned[row, top] > 0)
+                size[row, top] = -1.0
+        return out
 
     def candidates(self, queries: np.ndarray, enough: int):
         """For each query, the distinct rows of its matching ranges."""
@@ -63,7 +75,8 @@ class Forest:
         low = np.zeros((trees, len(queries)), np.int64)
         high = np.full_like(low, n)
         open_ = np.ones(len(queries), bool)
-        for shed in range(self.bits + 1):  # prefixes of bits - shed bits, longest first
+        for less in range(self.chars + 1):  # prefixes of chars - less characters, longest first
+            shed = less * self.width
             first = strings >> shed << shed
             at = np.flatnonzero(open_)
             lo = np.stack([np.searchsorted(k, f) for k, f in zip(self.keys, first[:, at], strict=True)])
@@ -104,7 +117,7 @@ def search(points: DataFrame, queries: DataFrame, k: int = 20, share: float = SH
         wanted = np.stack(asked["vector"].to_list())
         forest = Forest(vectors)
         out = []
-        for query, own, near in zip(asked["vec_id"], wanted, forest.candidates(wanted, int(share * len(ids)) + FLOOR * k), strict=True):
+        for query, own, near in zip(asked["vec_id"], wanted, forest.candidates(wanted, max(int(share * len(ids)), FLOOR * k)), strict=True):
             near = near[ids[near] != query]
             scores = (vectors[near] * own).sum(axis=1)  # the same order of sums for every row
             if len(near) > k:  # keep ties with the k-th for the order by id
@@ -123,4 +136,4 @@ def search(points: DataFrame, queries: DataFrame, k: int = 20, share: float = SH
 
 def exact(points: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """The same by comparing all pairs in blocks: the measure of recall, for tests."""
-    return search(points, queries, k, share=float(TREES))
+    return search(points, queries, k, share=float(TREES + 1))
