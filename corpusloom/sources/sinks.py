@@ -11,14 +11,15 @@ def save(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def load(spark, path: str, schema: str) -> DataFrame:
-    """A stored table, or an empty one of ``schema`` where there is none yet."""
+def load(spark, path: str, schema: str, required: bool = False) -> DataFrame:
+    """A stored table, or an empty one of ``schema`` where there is none yet; a ``required``
+    table that is missing is an error."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if required or e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 

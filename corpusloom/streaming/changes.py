@@ -34,7 +34,8 @@ def watch(spark: SparkSession, log: str, store: str, checkpoint: str, handle: Ca
     each batch's changes. ``trigger`` is passed to ``DataStreamWriter.trigger``."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = sinks.load(spark, f"{store}/v{batch_id}", STORE) if batch_id else spark.createDataFrame([], STORE)
+        # a lost version must not read as an empty store, which would report every file as added
+        old = sinks.load(spark, f"{store}/v{batch_id}", STORE, required=True) if batch_id else spark.createDataFrame([], STORE)
         changes, new = batch_changes(batch, old)
         sinks.save(new, f"{store}/v{batch_id + 1}")  # a version a batch: re-running overwrites its own
         handle(changes, batch_id)

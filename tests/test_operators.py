@@ -253,3 +253,11 @@ def test_discover_prefers_source_roots(spark):
     assert [tuple(r) for r in files.discover(rows).collect()] == [("src", "a", 1)]
     assert [tuple(r) for r in files.discover(rows.where("path like 'tools%'")).collect()] == [("", "tools", 1)]
     assert files.discover(rows.limit(0)).count() == 0
+
+
+def test_lost_store_version_is_an_error(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    assert sinks.load(spark, str(tmp_path / "none"), changes.STORE).count() == 0
+    with pytest.raises(AnalysisException):
+        sinks.load(spark, str(tmp_path / "none"), changes.STORE, required=True)
