@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .io import cut
+from .io import compact, cut
 
 MOST_ROUNDS = 60
 
@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     component's size, and a step keeps at most as many edges as it had. Raises if the
     labels have not settled after MOST_ROUNDS, rather than return some."""
     pairs = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low <> high").distinct())
+    most = pairs.count()
+    pairs = compact(pairs, most)
     for _ in range(MOST_ROUNDS):
         both = pairs.select(F.col("low").alias("u"), F.col("high").alias("v")).unionAll(pairs.select(F.col("high").alias("u"), F.col("low").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -25,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(down, "high").select("m", "low", "high").select(
             F.explode(F.array(F.struct(F.col("m").alias("low"), F.col("low").alias("high")), F.struct(F.col("m").alias("low"), F.col("high").alias("high")))).alias("e")
         ).select("e.low", "e.high").where("low <> high").distinct()
-        after = cut(small)
+        after = cut(compact(small, most))
         # settled: every node hangs on one root, and no root hangs on another
         heads = after.groupBy("high").agg(F.count(F.lit(1)).alias("n"))
         roots = after.select("low").distinct()

@@ -51,12 +51,28 @@ def test_suffix_dedup(docs, texts, nothing):
             if count[b[p : p + 400]] > 1:
                 gone[p : p + 400] = b"\1" * 400
         spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
-        want.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
-    got = suffixes.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        rest = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), spans, hashlib.sha256(rest).hexdigest(), sum(not 0x80 <= x < 0xC0 for x in rest)))
+    got = suffixes.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars").collect()
     assert bag(got) == bag(want)
     assert suffixes.dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_over_many_partitions(spark, docs):
+    """Skew joins split, and partitions of a few rows, change nothing."""
+    want = bag(suffixes.dedup(docs).collect())
+    forced = {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    forced |= {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    was = {k: spark.conf.get(k, None) for k in forced}
+    for k, v in forced.items():
+        spark.conf.set(k, v)
+    try:
+        assert bag(suffixes.dedup(docs.repartition(17)).collect()) == want
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_sliding_min():
     values = np.random.default_rng(1).integers(0, 99, 1000).astype(np.uint64)
     for width in (1, 7, 256, 1000):
@@ -104,6 +120,9 @@ def test_keep_one(docs, texts, nothing):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     assert sorted(ids) == sorted(want)
     assert jaccard.keep_one(nothing, rule).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("tag", "gone_cls", "gone_doc", "again", "comp", "one", "count")})
+    kept = jaccard.keep_one(clash, rule)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(want)
 
 
 def test_similar_sets_share_a_key():
@@ -119,24 +138,55 @@ def test_similar_sets_share_a_key():
                 if 100 * common >= percent * (len(a) + len(b) - common) and jaccard.identity(a) != jaccard.identity(b):
                     for salt in (0, 1):
                         assert np.intersect1d(jaccard.sketch_keys(a, percent, salt), jaccard.sketch_keys(b, percent, salt)).size
-                    far = np.bitwise_count(np.frombuffer(jaccard.bit_sketch(a), np.uint64) ^ np.frombuffer(jaccard.bit_sketch(b), np.uint64)).sum()
+                    far = np.bitwise_count(jaccard.bit_sketch(a).view(np.uint64) ^ jaccard.bit_sketch(b).view(np.uint64)).sum()
                     assert far <= len(a) + len(b) - 2 * common
 
 
-def test_large_groups_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "GROUP_ROWS", 3)
-    rng = random.Random(5)
+def near_copies(n, edits, seed):
+    """Copies of one text, each with its own edits, and their doc_ids."""
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(120)]
     rows = []
-    for k in range(60):
+    for k in range(n):
         own = list(base)
-        for _ in range(rng.randint(0, 5)):
+        for _ in range(rng.randint(0, edits)):
             own[rng.randrange(120)] = f"x{k}_{rng.random()}"
         rows.append((k, " ".join(own), None))
+    return rows
+
+
+@pytest.mark.parametrize("limit, small", [(3, 32), (8, 1), (2048, 1)])
+def test_large_groups_are_dealt_again(spark, monkeypatch, limit, small):
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", limit)
+    monkeypatch.setattr(jaccard, "SMALL_GROUP", small)
+    rows = near_copies(60, 5, 5)
     got = jaccard.join(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), jaccard.Rule(3, 90)).select("doc_id", "n_shingles", "component_id").collect()
     assert bag(got) == bag(brute_components(rows, 3, 90))
 
 
+def test_last_round_alone_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", 1)
+    rows = near_copies(150, 9, 6)
+    got = jaccard.join(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), jaccard.Rule(3, 90)).select("doc_id", "n_shingles", "component_id").collect()
+    assert bag(got) == bag(brute_components(rows, 3, 90))
+
+
+def test_one_large_group_makes_few_pairs(spark, monkeypatch):
+    """A group of near copies about the threshold: proposals stay in proportion to rows."""
+    made, near_pairs = [], jaccard.near_pairs
+
+    def counted(rows, rule, nearest):
+        found = near_pairs(rows, rule, nearest).cache()
+        made.append((rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "near_pairs", counted)
+    rows = near_copies(900, 10, 7)
+    got = jaccard.join(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), jaccard.Rule(3, 90)).select("doc_id", "n_shingles", "component_id").collect()
+    assert bag(got) == bag(brute_components(rows, 3, 90))
+    assert made and all(pairs <= in_ for in_, pairs in made)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 2), (8, 7), (7, 7), (20, 30), (2, 5)], "a long, b long")
     assert {(r.node, r.comp) for r in graphs.components(edges).collect()} == {(2, 2), (3, 2), (4, 2), (5, 2), (7, 7), (8, 7), (9, 7), (20, 20), (30, 20)}
@@ -157,6 +207,29 @@ def test_toxicity(spark, nothing):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) == (i in held) for i in ids)
 
 
+def test_ftrl_against_plain_loops(spark, docs):
+    """One shard, one coordinate at a time, as the FTRL-proximal paper writes it."""
+    some = docs.where("doc_id < 60 and doc_id >= 0")
+    labels = some.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = {r.feature: (r.z, r.n) for r in toxicity.train(some.unionAll(some), labels, F.lit(True)).collect()}
+    rows = [(r.doc_id, int(r.doc_id % 3 == 0), (r.text or "").encode()) for r in some.select("doc_id", "text").collect()]
+    items = [(toxicity.features(np.frombuffer(t, np.uint8)).astype(np.int32), y) for _, y, t in sorted(rows, key=lambda r: r[:2])]
+    z, n = Counter(), Counter()
+    for turn in range(toxicity.EPOCHS):
+        np.random.default_rng(turn).shuffle(items)
+        for coords, y in items:
+            w = {}
+            for i in coords.tolist():
+                sign = 1.0 if z[i] > 0 else -1.0
+                w[i] = 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - sign * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+            g = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(w.values()))))) - y
+            for i, wi in w.items():
+                z[i] += g - (((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA) * wi
+                n[i] += g * g
+    assert set(model) == {i for i in n if n[i]}
+    assert all(model[i] == pytest.approx((z[i], n[i]), rel=1e-9, abs=1e-12) for i in model)
+
+
 def test_toxicity_odd_rows(docs, nothing, spark):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, none, F.lit(True))
@@ -179,8 +252,10 @@ def test_token_counts(spark, docs, texts, nothing):
         assert r.truncated_total == sum(min(s, k) for s in sizes) and r.total_tokens == sum(sizes)
     shares = {r.share: r.n_tokens for r in tokens.quantiles(hist, [0.0, 0.5, 0.99, 1.0]).collect()}
     assert shares == {q: sizes[max(1, int(np.ceil(q * len(sizes)))) - 1] for q in (0.0, 0.5, 0.99, 1.0)}
-    cut = {r.context_limit: r.truncated_total for r in tokens.truncated_totals(hist, [1, 512, 10**6]).collect()}
-    assert cut == {x: sum(min(s, x) for s in sizes) for x in (1, 512, 10**6)}
+    limits = [0, 1, 511, 512, sizes[-1] - 1, sizes[-1], 10**6]
+    cut = {r.context_limit: (r.truncated_total, r.docs_over) for r in tokens.truncated_totals(hist, limits).collect()}
+    assert cut == {x: (sum(min(s, x) for s in sizes), sum(s > x for s in sizes)) for x in limits}
+    assert tokens.truncated_totals(hist.limit(0), [5]).collect()[0].truncated_total == 0
     assert tokens.length_histogram(tokens.with_lengths(nothing, path)).count() == 0
 
 
@@ -192,7 +267,7 @@ def test_packing(docs, texts, nothing, tmp_path, spark):
     got = Counter()
     for r in rows:
         ids = np.frombuffer(r.ids, kind)
-        assert len(ids) == r.n_tokens == r.cu_seqlens[-1] <= 128 and r.resets == r.cu_seqlens[:-1]
+        assert len(ids) == 128 >= r.n_tokens == r.cu_seqlens[-1] and r.resets == r.cu_seqlens[:-1] and not ids[r.n_tokens :].any()
         places = packing.position_ids(r.cu_seqlens)
         assert [i for i, p in enumerate(places) if p == 0] == r.resets
         for k, (d, at) in enumerate(zip(r.doc_ids, r.doc_offsets)):
@@ -242,13 +317,51 @@ def test_bpe(docs, texts, nothing):
     assert bpe.round_trip(nothing, bpe.default_tokenizer()).count() == 0
 
 
+def ids_of(machine, text):
+    return [i for _, ids, _ in machine.encoded([text]) if ids is not None for i in np.frombuffer(ids, "<u4").tolist()]
+
+
+def test_bpe_every_code_point():
+    """Letters, numbers, case and normalisation follow the library's versions of Unicode."""
+    machine, model = bpe.Transducer(bpe.default_tokenizer()), library()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for around, most in (("a{}B", len(points)), ("e{}\u0301\u0323", 0x1F000)):
+        for at in range(0, most, 1 << 16):
+            text = " ".join(around.format(c) for c in points[at : at + (1 << 16)])
+            if ids_of(machine, text) != model.encode(text, add_special_tokens=False).ids:
+                wrong = [hex(ord(c)) for c in points[at : at + (1 << 16)] if ids_of(machine, around.format(c)) != model.encode(around.format(c), add_special_tokens=False).ids]
+                raise AssertionError(wrong)
+
+
+def test_bpe_segments(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT_CHARS", 7)
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 20)
+    model = library()
+    texts = ["", None, " ", "one", "  two  words ", "x" * 60_000 + " end", "Ångström A\u030angstro\u0308m <|endoftext|>a<|endoftext|> b", "<|startoftext|>", "a\x1cb\x85c\u3000d\n\te ", "ab " * 500]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = []
+    for i, t in enumerate(texts):
+        ids = model.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(model.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    machine = bpe.Transducer(bpe.default_tokenizer())
+    got = []
+    for i, t in enumerate(texts):
+        own = bpe.Digest(machine)
+        for _, ids, decoded in machine.encoded([t]):
+            if ids is not None:
+                own.take(ids, decoded)
+        got.append((i, *own.result()))
+    assert got == want
+    assert bag(bpe.round_trip(rows, bpe.default_tokenizer()).collect()) == bag(want)
+
+
 def test_bpe_windows():
     machine, model, rng = bpe.Transducer(bpe.default_tokenizer()), library(), random.Random(4)
     machine.window = machine.lookahead + 25
     parts = ["the", "in", "tion", "a", "ss", "ha", "an", "!", "??", " ", "\n", "é", "ß", "Σ", "ΑΣ", "'s", "'LL", "1", "漢", "é", "🙂", "\x1c", "\x85", "<|endoftext|>", "<|start"]
     for k in range(60):
         text = "".join(rng.choices(parts, k=300)) if k % 2 else "".join(rng.choices("abehinost", k=1500))
-        ids = np.frombuffer(b"".join(machine.encode(text)[0]), "<u4").tolist()
+        ids = ids_of(machine, text)
         assert ids == model.encode(text, add_special_tokens=False).ids
         assert machine.decode(ids) == model.decode(ids, skip_special_tokens=False)
 
@@ -281,12 +394,8 @@ def test_quality(docs, texts, nothing):
     assert quality.ledger(nothing).count() == 0
 
 
-def test_mixing(docs, texts, nothing):
-    size = Counter()
-    for _, t, s in texts:
-        size[s] += len(re.findall(SPACES, t or ""))
-    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
-    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+def brute_targets(size, weight):
+    """Water filling, round by round."""
     left, target, open_ = 1.5 * sum(size.values()), {}, set(size)
     while open_:
         share = left / sum(weight[s] for s in open_)
@@ -295,6 +404,16 @@ def test_mixing(docs, texts, nothing):
             target[s] = 2.0 * size[s] if full else share * weight[s]
         left -= sum(target[s] for s in full)
         open_ -= full or open_
+    return target
+
+
+def test_mixing(docs, texts, nothing):
+    size = Counter()
+    for _, t, s in texts:
+        size[s] += len(re.findall(SPACES, t or ""))
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None] * (None in size)
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target = brute_targets(size, weight)
     rows = mixing.schedule(docs).collect()
     assert len(rows) == len(texts)
     taken = Counter()
@@ -312,6 +431,12 @@ def test_mixing(docs, texts, nothing):
     words = sum(len(re.findall(SPACES, r.text or "")) for r in mixed.select("text").collect())
     assert words == sum(taken.values())
     assert mixing.mix(nothing).count() == 0 and mixing.schedule(nothing).count() == 0
+    clash = docs.withColumns({c: F.lit(1) for c in ("doc", "from_source", "text_hash", "nth", "take", "at", "copy", "own_hash")})
+    again = mixing.mix(clash)
+    assert again.columns == clash.columns and bag(again.select("doc_id", "text").collect()) == bag(mixed.select("doc_id", "text").collect())
+    copies = mixing.mix(docs.where("doc_id = 1").unionAll(docs.where("doc_id = 1")).unionAll(docs.where("doc_id = 1")))
+    words = sum(len(re.findall(SPACES, r.text)) for r in copies.select("text").collect())
+    assert words == 3 * len(re.findall(SPACES, docs.where("doc_id = 1").first().text)) * 3 // 2
 
 
 def luhn(digits):
@@ -331,7 +456,7 @@ def test_pii(spark, docs, texts, nothing):
         (6, ""),
         (7, "4111111111111111 4111111111111111 12"),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), count="n").collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "a key", count="n").collect()}
     assert [got[k].n for k in range(1, 8)] == [2, 4, 3, 2, 0, 0, 2]
     cards = re.findall(r"\d{16}", got[1].text) + re.findall(r"\d{16}", got[2].text) + re.findall(r"\d{16}", got[7].text)
     own = cards[0]
@@ -341,8 +466,8 @@ def test_pii(spark, docs, texts, nothing):
     assert "2001-02-30" in got[3].text and "1066-10-14" in got[3].text and "300.1.1.1" in got[3].text and "10.0.0.1" not in got[3].text
     assert "ann" not in got[4].text.lower() and "deadbeef" not in got[4].text
     assert got[5].text is None and got[6].text == ""
-    out = pii.pseudonymise(docs, count="n")
-    assert out.columns == [*docs.columns, "n"] and pii.pseudonymise(nothing).count() == 0
+    out = pii.pseudonymise(docs, "a key", count="n")
+    assert out.columns == [*docs.columns, "n"] and pii.pseudonymise(nothing, "a key").count() == 0
     plain = {i: t for i, t, _ in texts if i is not None and i > 1000}
     assert all(plain[r.doc_id] == r.text for r in out.where("doc_id > 1000").select("doc_id", "text").collect())
 
@@ -354,6 +479,26 @@ def test_feistel_permutes(spark):
     assert digits.select(pii.permute_digits("k", "x", F.col("d")).alias("e")).where("length(e) = 3").distinct().count() == 1000
 
 
+def test_pseudonyms_stay_valid(spark):
+    rng = random.Random(11)
+    digit = lambda n: "".join(rng.choices("0123456789", k=n))
+    social = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
+    dialled = re.compile(r"[2-9]\d{2}-[2-9]\d{2}-\d{4}")
+    values = {f"{digit(3)}-{digit(2)}-{digit(4)}" for _ in range(2000)} | {f"{digit(3)}-{digit(3)}-{digit(4)}" for _ in range(4000)}
+    values |= {"001-01-0001", "899-99-9999", "665-01-0001", "667-01-0001", "200-200-0000", "999-999-9999", "000-000-0000", "199-999-9999", "200-000-0000", "999-199-9999"}
+    rows = spark.createDataFrame([(v,) for v in sorted(values)], "text string")
+    got = {r.was: r.text for r in pii.pseudonymise(rows.withColumn("was", F.col("text")).withColumn("found", F.lit(1)), "a key").collect()}
+    assert len(set(got.values())) == len(values)
+    for was, now in got.items():
+        for form in (social, dialled):
+            assert bool(form.fullmatch(was)) == bool(form.fullmatch(now))
+        if not social.fullmatch(was) and was[6] == "-":
+            assert was == now  # fails validation
+    assert sum(was == now for was, now in got.items() if was[6] != "-") < 3
+    with pytest.raises(ValueError):
+        pii.pseudonymise(rows, "")
+
+
 def test_neighbours(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding")
     odd = [(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [None] * 64), (9020, [float("inf")] * 64), (None, [1.0] * 64), (9005, [1.0, 2.0])]
@@ -382,6 +527,22 @@ def test_neighbours(spark, small):
     assert ann.search(few, few).count() == 6 and ann.search(rows.limit(0), asked).count() == 0
 
 
+@pytest.mark.parametrize("n", [2000, 6000])
+def test_forest_compares_a_part(n):
+    """Recall at 20 and the share of a shard compared, on vectors without any structure."""
+    rng = np.random.default_rng(n)
+    vectors = rng.standard_normal((n, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    forest, own = ann.Forest(vectors), np.arange(0, n, n // 100)
+    hits, compared = [], []
+    for q, near in zip(own, forest.candidates(vectors[own], max(int(ann.SHARE * n), ann.FLOOR * 20)), strict=True):
+        scores = vectors @ vectors[q]
+        scores[q] = -9
+        hits.append(np.isin(np.argsort(-scores)[:20], near).mean())
+        compared.append(len(near) / n)
+    assert np.mean(hits) >= 0.9 and np.mean(compared) <= 0.45
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
@@ -392,3 +553,61 @@ def test_pipeline(spark, small):
         assert stage(spark, docs.limit(0), small).count() == 0, name
     final = corpus_pipeline.run(spark, small)
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and final.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, small):
+    """Every stage on its own input: what stays, what changes, and the final digests."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"), ~toxicity.held_out())
+    weight = {}
+    for r in model.collect():
+        if abs(r.z) > toxicity.L1:
+            weight[r.feature] = -(r.z - (toxicity.L1 if r.z > 0 else -toxicity.L1)) / ((toxicity.BETA + r.n**0.5) / toxicity.ALPHA + toxicity.L2)
+    before = docs.select("doc_id", "text", "source").collect()
+    clean = []
+    for r in before:
+        found = toxicity.features(np.frombuffer((r.text or "").encode(), np.uint8)).tolist()
+        if 1 / (1 + np.exp(-sum(weight.get(i, 0.0) for i in found))) < 0.3:
+            clean.append(r.doc_id)
+    docs = stages["toxicity"](spark, docs, small).cache()
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(clean)
+
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    want = {c for _, n, c in brute_components(rows, 5, 80) if n} | {i for i, n, _ in brute_components(rows, 5, 80) if not n}
+    docs = stages["near_duplicates"](spark, docs, small).cache()
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(want)
+
+    was = {r.doc_id: r for r in docs.collect()}
+    docs = stages["pii"](spark, docs, small).cache()
+    now = {r.doc_id: r for r in docs.collect()}
+    assert set(now) == set(was)
+    for i, r in was.items():
+        assert r.asDict() | {"text": 0} == now[i].asDict() | {"text": 0}
+        if "@" not in (r.text or "") and not re.search("[0-9A-Fa-f]{32}", r.text or ""):
+            assert re.sub(r"\d+", "0", r.text or "") == re.sub(r"\d+", "0", now[i].text or "")
+
+    size, words = Counter(), {}
+    for i, r in now.items():
+        words[i] = re.findall(SPACES, r.text or "")
+        size[r.source] += len(words[i])
+    order = sorted(size, key=lambda x: (x is None, x or ""))
+    target = brute_targets(size, {x: (5, 2, 1)[k % 3] for k, x in enumerate(order)})
+    docs = stages["mixing"](spark, docs, small).cache()
+    mixed, taken = docs.collect(), Counter()
+    for r in mixed:
+        own = re.findall(SPACES, r.text or "")
+        assert own == words[r.doc_id][: len(own)]
+        taken[r.source] += len(own)
+    assert all(taken[x] == int(target[x]) for x in size) and max(Counter(r.doc_id for r in mixed).values()) <= 2
+
+    tokenizer = library()
+    want = []
+    for r in mixed:
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert bag(stages["bpe"](spark, docs, small).collect()) == bag(want)
+    assert stages["bpe"](spark, docs.limit(0), small).count() == 0
+    assert bag(corpus_pipeline.run(spark, small).collect()) == bag(want)
