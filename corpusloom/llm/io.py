@@ -12,7 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_A_PARTITION = 250_000
 
 
+#: Rows of an Arrow batch, unless the session says otherwise: Spark's 10,000 whole texts
+#: are held several times on their way to a Python worker.
+BATCH_ROWS = 2000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     # workers find this package where the driver's working directory is another one
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", home)
