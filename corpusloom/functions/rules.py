@@ -94,6 +94,25 @@ ROLES = (
     ("utility", ("util", "helper", "common", "shared", "tool")),
     ("api", ("api", "service", "handler", "endpoint")),
 )
+# Why a role or a template is recommended.
+ROLE_REASONS = {
+    "test": "Directory name indicates test module", "config": "Directory name indicates configuration module", "ui": "Directory name indicates UI component module",
+    "utility": "Directory name indicates utility module", "api": "Directory name indicates API/service module",
+}
+REASON_ENTRY = "Module is entry point with multiple dependents — likely core business logic"
+REASON_EXPORTS = "High export count suggests large public API surface — likely core module"
+REASON_SCORE = "High complexity score suggests deep business logic"
+REASON_SMALL = "Small module with few exports — likely utility or helper module"
+REASON_NONE = "Cannot determine role from directory name or signals. Semantic understanding required."
+TEMPLATE_HIGH = "High complexity or export count — full template recommended"
+TEMPLATE_LOW = "Low complexity and few exports — simple template sufficient"
+TEMPLATE_REASONS = {
+    "test": "Test modules need concise documentation", "config": "Config modules typically have simple structure", "utility": "Utility modules benefit from concise docs",
+    "ui": "UI components need detailed props/API documentation", "api": "API modules need detailed endpoint documentation", "core": "Core modules require comprehensive documentation",
+    "unknown": "Default to full template when role is unclear",
+}
+TEMPLATE_FILES = {"full": "module.md", "simple": "module-simple.md"}
+
 # Words at the start of a part of a module name -> hint.
 HINTS = (
     ("auth|user|account|login|permission|role", "Authentication or user management module"),

@@ -90,3 +90,42 @@ def hints(name: Column, is_entry: Column, n_in: Column, n_out: Column, n_exports
         F.when(is_entry & (n_out > 10), rules.HINT_ENTRY),
     ))
     return F.when(F.size(found) == 0, F.array(F.lit(rules.HINT_NONE))).otherwise(found)
+
+
+def report(rows: DataFrame) -> DataFrame:
+    """Analysed modules -> module, md: a report in Markdown.
+
+    Columns: module, path, language (null: unknown), n_files, n_lines, n_exports, score,
+    is_entry, n_in, n_out, depth, role, template, hints. Role and template are taken as
+    given; the reasons name the rule that gives them."""
+    c = F.col
+    named = reduce(Column.__or__, (_any(F.lower("module"), words) for _, words in rules.ROLES))
+    told = lambda label, name: F.concat(F.lit(f"{label}="), c(name).cast("string"))
+    by_name = F.try_element_at(F.create_map(*(F.lit(x) for pair in rules.ROLE_REASONS.items() for x in pair)), c("role"))
+    # rule, reason and deciding signals, the first that holds
+    steps = [
+        (named, by_name, F.array(F.lit("directory name pattern"))),
+        (c("is_entry") & (c("n_in") > 5), F.lit(rules.REASON_ENTRY), F.array(F.lit("isEntry=true"), told("incomingDeps", "n_in"))),
+        (c("n_exports") > 15, F.lit(rules.REASON_EXPORTS), F.array(told("exportCount", "n_exports"))),
+        (c("score") > 60, F.lit(rules.REASON_SCORE), F.array(told("complexityScore", "score"))),
+        ((c("n_files") <= 5) & (c("n_exports") <= 5), F.lit(rules.REASON_SMALL), F.array(told("fileCount", "n_files"), told("exportCount", "n_exports"))),
+        (F.lit(True), F.lit(rules.REASON_NONE), F.array(told("fileCount", "n_files"), told("exportCount", "n_exports"), told("complexityScore", "score"))),
+    ]
+    why = F.coalesce(*(F.when(test, reason) for test, reason, _ in steps))
+    signals = F.array_join(F.coalesce(*(F.when(test, found) for test, _, found in steps)), ", ")
+    by_role = F.try_element_at(F.create_map(*(F.lit(x) for pair in rules.TEMPLATE_REASONS.items() for x in pair)), c("role"))
+    fits = F.when((c("score") >= 50) | (c("n_exports") >= 10), rules.TEMPLATE_HIGH).when((c("score") < 30) & (c("n_exports") < 5), rules.TEMPLATE_LOW).otherwise(by_role)
+    file = F.when(c("template") == "full", rules.TEMPLATE_FILES["full"]).otherwise(rules.TEMPLATE_FILES["simple"])
+    # fixed values: the report's lines
+    table = (("fileCount", "n_files"), ("estimatedLines", "n_lines"), ("exportCount", "n_exports"), ("complexityScore", "score"), ("isEntry", "is_entry"), ("incomingDeps", "n_in"), ("outgoingDeps", "n_out"), ("maxNestingDepth", "depth"))
+    lines = [
+        F.concat(F.lit("## Module: "), "module"), F.concat(F.lit("**Path**: `"), "path", F.lit("`")), F.lit(""),
+        F.lit("### Quantitative Signals (from code analysis)"), F.lit("| Signal | Value |"), F.lit("|--------|-------|"),
+        *(F.concat(F.lit(f"| {label} | "), c(name).cast("string"), F.lit(" |")) for label, name in table),
+        F.concat(F.lit("| primaryLanguage | "), F.coalesce("language", F.lit("unknown")), F.lit(" |")), F.lit(""),
+        F.lit("### Role Recommendation (model overrideable)"), F.concat(F.lit("**Role**: `"), "role", F.lit("` — *"), why, F.lit("*")), F.concat(F.lit("**Top signals**: "), signals), F.lit(""),
+        F.lit("### Template Recommendation (model overrideable)"), F.concat(F.lit("**Template**: `"), file, F.lit("` — *"), fits, F.lit("*")),
+        F.concat(F.lit("**Basis**: "), told("complexityScore", "score"), F.lit(", "), told("exportCount", "n_exports")), F.lit(""),
+        F.lit("### Semantic Hints (for model reference)"), F.array_join(F.transform("hints", lambda h: F.concat(F.lit("- "), h)), "\n"),
+    ]
+    return rows.select("module", F.concat_ws("\n", *lines).alias("md"))

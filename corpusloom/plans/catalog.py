@@ -804,3 +804,32 @@ def badge_html(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").where("lang is not null")
     color = F.element_at(F.array(F.lit("blue"), F.lit("green"), F.lit("#123456")), (F.col("doc_id") % 3 + 1).cast("int"))
     return rows.select("doc_id", navigation.badge_html(F.lit("lang"), F.col("lang"), color).alias("html"))
+
+
+REPORT = f"""{duck("module_base")}, {ALL_SIGNALS}, w AS (SELECT *, CASE
+  WHEN regexp_matches(lower(module), 'test|spec|config|setting|conf|component|ui|view|page|widget|util|helper|common|shared|tool|api|service|handler|endpoint') THEN
+    [CASE role WHEN 'test' THEN 'Directory name indicates test module' WHEN 'config' THEN 'Directory name indicates configuration module' WHEN 'ui' THEN 'Directory name indicates UI component module'
+      WHEN 'utility' THEN 'Directory name indicates utility module' ELSE 'Directory name indicates API/service module' END, 'directory name pattern']
+  WHEN is_entry AND n_in > 5 THEN ['Module is entry point with multiple dependents — likely core business logic', concat('isEntry=true, incomingDeps=', n_in)]
+  WHEN n_exports > 15 THEN ['High export count suggests large public API surface — likely core module', concat('exportCount=', n_exports)]
+  WHEN score > 60 THEN ['High complexity score suggests deep business logic', concat('complexityScore=', score)]
+  WHEN n_files <= 5 AND n_exports <= 5 THEN ['Small module with few exports — likely utility or helper module', concat('fileCount=', n_files, ', exportCount=', n_exports)]
+  ELSE ['Cannot determine role from directory name or signals. Semantic understanding required.', concat('fileCount=', n_files, ', exportCount=', n_exports, ', complexityScore=', score)] END AS why,
+  CASE WHEN score >= 50 OR n_exports >= 10 THEN 'High complexity or export count — full template recommended' WHEN score < 30 AND n_exports < 5 THEN 'Low complexity and few exports — simple template sufficient'
+    ELSE CASE role WHEN 'test' THEN 'Test modules need concise documentation' WHEN 'config' THEN 'Config modules typically have simple structure' WHEN 'utility' THEN 'Utility modules benefit from concise docs'
+      WHEN 'ui' THEN 'UI components need detailed props/API documentation' WHEN 'api' THEN 'API modules need detailed endpoint documentation' WHEN 'core' THEN 'Core modules require comprehensive documentation'
+      ELSE 'Default to full template when role is unclear' END END AS fits FROM m)
+SELECT module, concat('## Module: ', module, chr(10), '**Path**: `src/', module, '`', chr(10), chr(10), '### Quantitative Signals (from code analysis)', chr(10), '| Signal | Value |', chr(10), '|--------|-------|', chr(10),
+  '| fileCount | ', n_files, ' |', chr(10), '| estimatedLines | ', n_lines, ' |', chr(10), '| exportCount | ', n_exports, ' |', chr(10), '| complexityScore | ', score, ' |', chr(10), '| isEntry | ', is_entry, ' |', chr(10),
+  '| incomingDeps | ', n_in, ' |', chr(10), '| outgoingDeps | ', n_out, ' |', chr(10), '| maxNestingDepth | ', depth, ' |', chr(10), '| primaryLanguage | unknown |', chr(10), chr(10),
+  '### Role Recommendation (model overrideable)', chr(10), '**Role**: `', role, '` — *', why[1], '*', chr(10), '**Top signals**: ', why[2], chr(10), chr(10),
+  '### Template Recommendation (model overrideable)', chr(10), '**Template**: `', CASE template WHEN 'full' THEN 'module.md' ELSE 'module-simple.md' END, '` — *', fits, '*', chr(10),
+  '**Basis**: complexityScore=', score, ', exportCount=', n_exports, chr(10), chr(10), '### Semantic Hints (for model reference)', chr(10),
+  array_to_string(list_transform(CASE WHEN len({HINT_LIST}) = 0 THEN ['{rules.HINT_NONE}'] ELSE {HINT_LIST} END, lambda h: concat('- ', h)), chr(10))) AS md FROM w"""
+
+
+@query(REPORT)
+def module_report(spark, d):
+    c = F.col
+    rows = signals(spark, d).withColumn("hints", modules.hints(c("module"), c("is_entry"), c("n_in"), c("n_out"), c("n_exports")))
+    return modules.report(rows.withColumns({"path": F.concat(F.lit("src/"), "module"), "language": F.lit(None).cast("string")}))
