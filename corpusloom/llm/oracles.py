@@ -58,4 +58,17 @@ SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(rest)) AS kept_sha256,
     concat(coalesce(kept, ''), hex(b[coalesce(last, 0) + 1:n])) AS rest FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
 """
 
-ORACLES = {"op1_suffix_dedup": OP1, "op4_jaccard_join": OP4, "op8_quality_rules": OP8, "op9_mixing": OP9}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM d) x GROUP BY r, doc_id, len(w), term),
+f AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY term),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+t AS (SELECT q, item_id, unnest(w) AS term FROM i),
+v AS (SELECT q, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms))))) AS BIGINT) AS score
+      FROM t JOIN f USING (term) JOIN p USING (term) CROSS JOIN s GROUP BY q, item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM v WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+ORACLES = {"op11_lexical_search": OP11, "op1_suffix_dedup": OP1, "op4_jaccard_join": OP4, "op8_quality_rules": OP8, "op9_mixing": OP9}

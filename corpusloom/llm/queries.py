@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, packing, pii, quality, suffixes, tokens, toxicity
+from . import align, ann, binpack, bpe, jaccard, mixing, packing, pii, quality, search, suffixes, tokens, toxicity
 from .io import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -59,6 +59,18 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack(table(spark, sf_dir, "documents"), bpe.default_tokenizer())
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), *align.default_paths())
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_toxicity": op2_toxicity,
@@ -70,5 +82,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_alignment": op13_alignment,
 }
 
