@@ -42,7 +42,7 @@ detected (second fingerprint) and stop the job.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -82,15 +82,18 @@ class Rule:
 
     words: int = 5
     percent: int = 80
+    #: Of the fingerprints that stand for shingles; every rule has a random one.
+    key: bytes = field(default_factory=kern.new_key, repr=False)
 
 
-def shingle_set(buf: np.ndarray, words: int) -> np.ndarray:
-    """Sorted fingerprints of the distinct shingles of a text (A-Z lower-cased). Fewer
-    words than a shingle are one shingle; no words, no set."""
-    own = kern.word_hashes(kern.LOWER[buf])
+def shingle_set(buf: np.ndarray, rule: Rule) -> np.ndarray:
+    """Sorted keyed fingerprints of the distinct shingles of a text (A-Z lower-cased).
+    Fewer words than a shingle are one shingle; no words, no set."""
+    hashes = kern.keyed(rule.key)
+    own = hashes.words(kern.LOWER[buf])
     if not len(own):
         return own
-    return np.unique(kern.window_hashes(own, min(words, len(own))))
+    return np.unique(hashes.windows(own, min(rule.words, len(own))))
 
 
 def identity(items: np.ndarray) -> tuple[int, int]:
@@ -162,7 +165,7 @@ def classes(docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             n, cls, check = [], [], []
             for buf in kern.byte_rows(batch.column(1)):
-                items = shingle_set(buf, rule.words)
+                items = shingle_set(buf, rule)
                 one, two = identity(items) if len(items) else (None, None)
                 n.append(len(items))
                 cls.append(one)
@@ -184,7 +187,7 @@ def keyed_classes(docs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             keys, owners, held = [], [], 0
             for buf in kern.byte_rows(batch.column(0)):
-                items = shingle_set(buf, rule.words)
+                items = shingle_set(buf, rule)
                 if not len(items):
                     continue
                 cls, _ = identity(items)
@@ -281,7 +284,7 @@ def wanted_sets(docs: DataFrame, rule: Rule, wanted: DataFrame) -> DataFrame:
         out, held = [], 0
         for batch in batches:
             for buf in kern.byte_rows(batch.column(0)):
-                items = shingle_set(buf, rule.words)
+                items = shingle_set(buf, rule)
                 if not len(items):
                     continue
                 cls, _ = identity(items)
@@ -543,7 +546,7 @@ def keep_one(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            cls = [identity(items)[0] if len(items) else None for items in (shingle_set(b, rule.words) for b in kern.byte_rows(batch.column(place)))]
+            cls = [identity(items)[0] if len(items) else None for items in (shingle_set(b, rule) for b in kern.byte_rows(batch.column(place)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls, pa.int64())], [*batch.schema.names, tag])
 
     has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

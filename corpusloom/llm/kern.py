@@ -2,12 +2,18 @@
 
 Everything works on one document at a time as a ``uint8`` array, so memory is
 bounded by the longest document of an Arrow batch, never by a group of rows.
-Substring fingerprints are polynomial prefix sums modulo 2**64 with random byte
-codes: equal strings always get equal fingerprints.
+Substring fingerprints (``span_hash``) are polynomial prefix sums modulo 2**64 with fixed
+byte codes: equal strings always get equal fingerprints, but different ones can be made that
+share one, so they serve as features and filters only. Where a result rests on equality,
+``Keyed`` fingerprints are taken: the chance that two different strings share one is bounded
+for every pair of strings, as long as these do not depend on the job's random key.
 """
 
 from __future__ import annotations
 
+import functools
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -65,20 +71,59 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(buf: np.ndarray) -> np.ndarray:
-    start, end = word_spans(buf)
-    return span_hash(prefix_sums(buf), start, end) if len(start) else np.zeros(0, np.uint64)
-
-
-def window_hashes(items: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprints of all runs of ``width`` consecutive items."""
-    n = len(items) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(width):
-        out = out * np.uint64(BASE) + items[k : k + n]
-    return mix(out)
+class Keyed:
+    """Fingerprints by multilinear hashing modulo 2**64 under a random key.
+
+    A string's bytes, each plus one, are weighted by random numbers of their places and
+    summed; the top 56 bits of such sums are strongly universal: any two different strings
+    share them with probability 2**-56. Runs of items are weighted by halves of 32 bits,
+    twice, which leaves 2 * 32 such bits. All jobs' tasks make the same numbers from the
+    key; a job draws its own (``new_key``)."""
+
+    def __init__(self, key: bytes):
+        number = int.from_bytes(key, "little") << 1
+        self.draw = np.random.Philox(key=number & (1 << 128) - 1)
+        self.runs = np.random.Philox(key=(number | 1) & (1 << 128) - 1).random_raw(4 * 64).reshape(2, 128)
+        self.places = self.draw.random_raw(1 << 12)
+
+    def spans(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Fingerprints of the non-empty substrings [start, end), which do not overlap."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        size = end - start
+        while len(self.places) < (longest := int(size.max())):
+            self.places = np.concatenate((self.places, self.draw.random_raw(max(len(self.places), longest - len(self.places)))))
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        place = step - np.repeat(first, size)
+        byte = buf[place + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)
+        return np.add.reduceat(self.places[place] * byte, first) >> np.uint64(8)
+
+    def words(self, buf: np.ndarray) -> np.ndarray:
+        return self.spans(buf, *word_spans(buf))
+
+    def windows(self, items: np.ndarray, width: int) -> np.ndarray:
+        """Fingerprints of all runs of ``width`` consecutive items, 64 at most."""
+        n = len(items) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        low, high = items & np.uint64(0xFFFFFFFF), items >> np.uint64(32)
+        out = []
+        for weights in self.runs:
+            total = np.full(n, weights[127], np.uint64)
+            for k in range(width):
+                total += weights[2 * k] * low[k : k + n] + weights[2 * k + 1] * high[k : k + n]
+            out.append(total >> np.uint64(32))
+        return out[0] << np.uint64(32) | out[1]
+
+
+def new_key() -> bytes:
+    return os.urandom(15)
+
+
+@functools.cache
+def keyed(key: bytes) -> Keyed:
+    return Keyed(key)
 
 
 def byte_rows(column: pa.Array):

@@ -42,24 +42,23 @@ def mask(rules) -> int:
     return sum(1 << RULES.index(r) for r in rules)
 
 
-def measure(buf: np.ndarray) -> tuple[int, ...]:
+def measure(buf: np.ndarray, hashes: kern.Keyed) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words of one text."""
     start, end = kern.word_spans(buf)
     n = len(start)
     if not n:
         return 0, 0, 0, 0, 0, 0
-    sums = kern.prefix_sums(buf)
     chars = int(np.count_nonzero(((buf & 0xC0) != 0x80) & ~kern.SPACE[buf]))
     symbols = int(np.count_nonzero(_SYMBOL[buf]))
     breaks = np.flatnonzero(buf == 10)
     line_start = np.concatenate(([0], breaks + 1))
     line_end = np.concatenate((breaks, [len(buf)]))
     worded = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
-    lines = kern.span_hash(sums, line_start[worded], line_end[worded])
+    lines = hashes.spans(buf, line_start[worded], line_end[worded])
     dup_lines = len(lines) - len(np.unique(lines))
     repeat = 0
     if n > WINDOW:
-        grams = kern.window_hashes(kern.span_hash(sums, start, end), WINDOW)
+        grams = hashes.windows(hashes.spans(buf, start, end), WINDOW)
         order = np.argsort(grams, kind="stable")
         same = np.diff(grams[order]) == 0
         if same.any():
@@ -86,19 +85,21 @@ def judge(n: int, chars: int, symbols: int, lines: int, dup_lines: int, repeat:
     return sum(1 << i for i, bad in enumerate(tests) if bad)
 
 
-def _rows(batches):
-    for batch in batches:
-        found = [m + (judge(*m),) for m in map(measure, kern.byte_rows(batch.column(1)))]
-        cells = np.array(found, np.int64).reshape(-1, 7)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(7))],
-            ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failed"],
-        )
-
-
 def ledger(docs: DataFrame) -> DataFrame:
     """One row per document: measurements and failure bits. No shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_rows, LEDGER)
+    key = kern.new_key()
+
+    def rows(batches):
+        hashes = kern.keyed(key)
+        for batch in batches:
+            found = [m + (judge(*m),) for m in (measure(buf, hashes) for buf in kern.byte_rows(batch.column(1)))]
+            cells = np.array(found, np.int64).reshape(-1, 7)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), *(pa.array(np.ascontiguousarray(cells[:, i])) for i in range(7))],
+                ["doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "failed"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(rows, LEDGER)
 
 
 def apply_policy(rows: DataFrame, policy: str = "v1") -> DataFrame:

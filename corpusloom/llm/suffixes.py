@@ -6,19 +6,19 @@ Every start position p is represented by its anchor: the last minimum of a hash
 LENGTH bytes at p alone, so equal strings have their anchors at equal distance, and the
 positions of one anchor are one run. Doubling then works on anchors, not on all bytes:
 
-* the first rank of an anchor names the LENGTH - SPREAD + 1 bytes from it on, which all
-  strings of its run contain; Spark brings equal ranks together, and anchors whose rank is
-  unique are done: none of their strings repeats;
-* the surviving ones are ranked again, paired with their distance, over the longer strings
-  shared by ever smaller ranges of distances (``CELLS``), until a range is unique, or its
-  strings' union is itself repeated, which settles the whole range, or single positions
-  have been ranked over the full LENGTH.
-
-A rank is a 64-bit name of a string, equal for equal strings, so no global sort assigns
-it; counts per rank are pre-aggregated, and a hot rank is split by the skew join. Texts
-that occur twice or more as a whole are settled by their digest and enter once a
-partition. Ids of texts are the first 64 bits of SHA-256; a clash is detected (the next
-64) and stops the job.
+* the first name of an anchor is a fingerprint of the LENGTH - SPREAD + 1 bytes from it on,
+  which all strings of its run contain; Spark brings equal names together, and anchors whose
+  name is unique are done: none of their strings repeats. This only filters;
+* the others are ranked by 128-bit digests, paired with their distance, over the strings
+  shared by their run and then by ever smaller ranges of distances (``CELLS``), until a
+  range is unique, or its strings' union is itself repeated, which settles the whole range,
+  or single positions have been ranked over the full LENGTH.
+
+A rank is a cryptographic digest (BLAKE2b) of its string, so no global sort assigns it and
+nothing goes because of a clash of fingerprints; counts per rank are pre-aggregated, and a
+hot rank is split by the skew join. Texts that occur twice or more as a whole are settled
+by their digest and enter once a partition. Ids of texts are the first 64 bits of SHA-256;
+a clash is detected (the next 64) and stops the job.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes lose nothing;
 repeated rows repeat each other. Extra columns are ignored. Empty tables give no row.
@@ -40,7 +40,8 @@ from .jaccard import passes, wanted_filter
 LENGTH = 400
 GRAM, SPREAD = 32, 256
 CELLS = (64, 8, 1)
-ITEM = "core long, whole long, cls long, anchor long, near int, far int"
+ITEM = "core binary, whole binary, cls long, anchor long, near int, far int"
+FIRST = "core long, cls long, anchor long, near int, far int"
 
 
 def digest_id(raw: bytes) -> tuple[int, int, str]:
@@ -79,25 +80,31 @@ def anchors(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return anchor[first], anchor[first] - last, anchor[first] - first
 
 
-def name(sums: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Names of [start, end) paired with the range of distances."""
-    return kern.signed(kern.mix(kern.span_hash(sums, start, end) + (low * SPREAD + high).astype(np.uint64)))
+def digest(raw: memoryview, near: int, far: int) -> bytes:
+    """The rank of a string at a range of distances."""
+    return hashlib.blake2b(raw, digest_size=16, salt=(near * SPREAD + far).to_bytes(4, "little")).digest()
 
 
-def split(sums: np.ndarray, anchor: np.ndarray, near: np.ndarray, far: np.ndarray, cell: int):
-    """The ranges of distances cut at multiples of ``cell``, ranked over the longer strings."""
-    n = len(sums) - 1
+def cells(anchor: np.ndarray, near: np.ndarray, far: np.ndarray, cell: int):
+    """The ranges of distances cut at multiples of ``cell``: (lows, highs, anchor, near, far),
+    the first two the bounds of the cell."""
     count = far // cell - near // cell + 1
     of = np.repeat(np.arange(len(anchor)), count)
     step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    a = anchor[of]
     low = (near[of] // cell + step) * cell
     high = low + cell - 1
-    core = name(sums, a - low, a - high + LENGTH, low, high)
-    inside = (a - high >= 0) & (a - low + LENGTH <= n)
-    start, end = np.where(inside, a - high, 0), np.where(inside, a - low + LENGTH, 0)
-    whole = name(sums, start, end, low, high)
-    return core, whole, inside, a, np.maximum(low, near[of]), np.minimum(high, far[of])
+    return low, high, anchor[of], np.maximum(low, near[of]), np.minimum(high, far[of])
+
+
+def ranked(buf: np.ndarray, low, high, anchor, own_low, own_high) -> tuple[list, list]:
+    """Ranks of the bytes that all strings at distances low..high from the anchor share, and
+    of those that any of own_low..own_high covers (None beyond the text)."""
+    raw, n = memoryview(buf), len(buf)
+    core, whole = [], []
+    for a, x, y, p, q in zip(*(v.tolist() for v in (anchor, low, high, own_low, own_high)), strict=True):
+        core.append(digest(raw[a - x : a - y + LENGTH], x, y))
+        whole.append(digest(raw[a - q : a - p + LENGTH], p, q) if a >= q and a - p + LENGTH <= n else None)
+    return core, whole
 
 
 def characters(raw: np.ndarray) -> int:
@@ -120,15 +127,8 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, n_bytes long, n_chars long, cls long, check long, sha256 string")
 
 
-def _items(core, whole, inside, cls, anchor, near, far) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(core), pa.array(whole, mask=~inside), pa.array(cls), pa.array(anchor), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))],
-        ["core", "whole", "cls", "anchor", "near", "far"],
-    )
-
-
-def first_ranks(docs: DataFrame) -> DataFrame:
-    """The anchors of every text, a text once a partition."""
+def first_names(docs: DataFrame) -> DataFrame:
+    """The anchors of every text, a text once a partition, with a fingerprint."""
 
     def rows(batches):
         seen = set()
@@ -143,14 +143,17 @@ def first_ranks(docs: DataFrame) -> DataFrame:
                 seen.add(cls)
                 sums = kern.prefix_sums(buf)
                 a, near, far = anchors(sums)
-                zero = np.zeros(len(a), np.int64)
-                core = name(sums, a, a + LENGTH - SPREAD + 1, zero, zero + SPREAD - 1)
-                out.append((core, name(sums, a - far, a - near + LENGTH, near, far), np.full(len(a), cls), a, near, far))
+                out.append((kern.signed(kern.span_hash(sums, a, a + LENGTH - SPREAD + 1)), np.full(len(a), cls), a, near.astype(np.int32), far.astype(np.int32)))
             if out:
-                core, whole, cls, a, near, far = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield _items(core, whole, np.ones(len(core), bool), cls, a, near, far)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], [c.split()[0] for c in FIRST.split(", ")])
+
+    return docs.select("text").mapInArrow(rows, FIRST)
+
 
-    return docs.select("text").mapInArrow(rows, ITEM)
+def repeated_names(items: DataFrame) -> DataFrame:
+    """The items whose fingerprint is not unique."""
+    twice = cut(items.groupBy("core").count().where("count > 1").select("core"))  # a written side leaves the join free to split a hot one
+    return cut(items.join(twice, "core").drop("core"))
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,8 +177,8 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(rows, "cls long, raw binary")
 
 
-def next_ranks(docs: DataFrame, items: DataFrame, cell: int) -> DataFrame:
-    """The open items, cut into cells and ranked over the longer strings."""
+def next_ranks(docs: DataFrame, items: DataFrame, cell: int | None) -> DataFrame:
+    """The open items, cut into cells (None: as they are) and ranked over what these share."""
     spots = items.groupBy("cls").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("near").alias("nears"), F.collect_list("far").alias("fars"))
     texts = wanted_texts(docs, items.select("cls").distinct())
 
@@ -183,8 +186,14 @@ def next_ranks(docs: DataFrame, items: DataFrame, cell: int) -> DataFrame:
         for batch in batches:
             for cls, buf, *lists in zip(batch.column(0).to_pylist(), kern.byte_rows(batch.column(1)), *(batch.column(i) for i in (2, 3, 4)), strict=True):
                 a, near, far = (x.values.to_numpy().astype(np.int64) for x in lists)
-                core, whole, inside, a, near, far = split(kern.prefix_sums(buf), a, near, far, cell)
-                yield _items(core, whole, inside, np.full(len(a), cls), a, near, far)
+                if cell is None:
+                    core, whole = ranked(buf, np.zeros_like(a), np.full_like(a, SPREAD - 1), a, near, far)
+                else:
+                    low, high, a, near, far = cells(a, near, far, cell)
+                    core, whole = ranked(buf, low, high, a, low, high)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(core, pa.binary()), pa.array(whole, pa.binary()), pa.array(np.full(len(a), cls)), pa.array(a), pa.array(near.astype(np.int32)), pa.array(far.astype(np.int32))], [c.split()[0] for c in ITEM.split(", ")]
+                )
 
     return texts.join(spots, "cls").select("cls", "raw", "anchors", "nears", "fars").mapInArrow(rows, ITEM)
 
@@ -213,11 +222,11 @@ def settle(items: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(cls, starts, ends): spans of each text whose LENGTH-byte strings occur again."""
-    spans, items = settle(first_ranks(docs), False)
-    for cell in CELLS:
+    items, spans = repeated_names(first_names(docs)), None
+    for cell in (None, *CELLS):
         # written first: both their counts and the join read them, and texts are read once
         more, items = settle(cut(next_ranks(docs, items, cell)), cell == 1)
-        spans = spans.unionAll(more)
+        spans = more if spans is None else spans.unionAll(more)
     return spans.groupBy("cls").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
 
