@@ -214,10 +214,9 @@ def settle(items: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     place = ("cls", "anchor", "near", "far")
     twice = alive.where("whole is not null").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"), F.min(F.struct(*place)).alias("one")).where("c > 1")
     twice = cut(twice)
-    keys = twice.select("core", "whole")
     partners = twice.where("open").select("one.*")
-    open_ = alive.where("open").join(keys, ["core", "whole"], "left_anti").select(*place)
-    return span(alive.join(keys, ["core", "whole"], "left_semi")), cut(open_.unionAll(partners))
+    told = alive.join(twice.select("core", "whole", F.lit(True).alias("settled")), ["core", "whole"], "left")
+    return span(told.where("settled")), cut(told.where("open and settled is null").select(*place).unionAll(partners))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
