@@ -11,15 +11,19 @@ from ..functions import paths, rules
 from .lineage import cut
 
 
+def matched(files: DataFrame, table: dict[str, tuple[str, ...]]) -> DataFrame:
+    """files(path, content) -> path, language, name: group 1 of every match of the patterns
+    that ``table`` has for a file's language. One pass over the files: a row meets the
+    patterns of its own language only."""
+    language = F.col("language")
+    arms = [(language == name, F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))) for name, patterns in table.items() if patterns]
+    case = reduce(lambda c, arm: c.when(*arm), arms[1:], F.when(*arms[0]))
+    return files.withColumn("language", paths.language(F.col("path"))).select("path", "language", F.explode(case).alias("name"))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, language, specifier: what each file's import statements name."""
-    lang = files.withColumn("language", paths.language(F.col("path")))
-    found = None
-    for name, patterns in rules.IMPORTS.items():
-        own = lang.where(F.col("language") == name)
-        rows = own.select("path", "language", F.explode(F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))).alias("specifier"))
-        found = rows if found is None else found.unionAll(rows)
-    return found.distinct()
+    return matched(files, rules.IMPORTS).withColumnRenamed("name", "specifier").distinct()
 
 
 def target_base(language: Column, path: Column, specifier: Column) -> Column:
@@ -33,21 +37,28 @@ def target_base(language: Column, path: Column, specifier: Column) -> Column:
     return F.when(language == "python", python).when(language == "java", F.translate(specifier, ".", "/")).otherwise(script)
 
 
+def candidates(found: DataFrame) -> DataFrame:
+    """imports -> path, specifier, rank, dst: the files that each import accepts, by priority."""
+    arms = []
+    for name in rules.IMPORTS:
+        endings, folders = rules.RESOLVE.get(name, ((), ()))
+        arms.append((F.col("language") == name, F.array(*map(F.lit, ("", *endings, *(f"/{f}" for f in folders))))))
+    tails = reduce(lambda c, arm: c.when(*arm), arms[1:], F.when(*arms[0]))
+    rows = found.select("path", "specifier", target_base(F.col("language"), F.col("path"), F.col("specifier")).alias("base"), F.posexplode(tails).alias("rank", "tail"))
+    return rows.select("path", "specifier", "rank", F.concat("base", "tail").alias("dst"))
+
+
+def chosen(options: DataFrame, known: DataFrame) -> DataFrame:
+    """candidates, known(path) -> path, specifier, dst: the first one that exists."""
+    there = known.select(F.col("path").alias("dst")).distinct()
+    return options.join(there, "dst").groupBy("path", "specifier").agg(F.min_by("dst", "rank").alias("dst"))
+
+
 def resolve(found: DataFrame, files: DataFrame) -> DataFrame:
     """imports -> src, dst: the first existing candidate of each import, by priority.
 
     Candidates are exploded with their rank and joined to the file list on path."""
-    ranked = None
-    named = found.withColumn("base", target_base(F.col("language"), F.col("path"), F.col("specifier")))
-    for name in rules.IMPORTS:
-        endings, folders = rules.RESOLVE.get(name, ((), ()))
-        tails = ["", *endings, *(f"/{f}" for f in folders)]
-        rows = named.where(F.col("language") == name).select("path", "specifier", "base", F.posexplode(F.array(*map(F.lit, tails))).alias("rank", "tail"))
-        ranked = rows if ranked is None else ranked.unionAll(rows)
-    candidates = ranked.select("path", "specifier", "rank", F.concat("base", "tail").alias("dst"))
-    known = files.select(F.col("path").alias("dst")).distinct()
-    best = candidates.join(known, "dst").groupBy("path", "specifier").agg(F.min_by("dst", "rank").alias("dst"))
-    return best.select(F.col("path").alias("src"), "dst").distinct()
+    return chosen(candidates(found), files).select(F.col("path").alias("src"), "dst").distinct()
 
 
 def imported_by(edges: DataFrame) -> DataFrame:

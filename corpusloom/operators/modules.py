@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import paths, rules
+from ..functions import rules
+from .graph import matched
 
 
 def _any(name: Column, words: tuple[str, ...]) -> Column:
@@ -40,13 +41,7 @@ def nesting(files: DataFrame) -> DataFrame:
 
 def exports(files: DataFrame) -> DataFrame:
     """files(path, content) -> path, name: what each file's language lets other files use."""
-    lang = files.withColumn("language", paths.language(F.col("path")))
-    found = None
-    for name, patterns in rules.EXPORTS.items():
-        own = lang.where(F.col("language") == name)
-        rows = own.select("path", F.explode(F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))).alias("name"))
-        found = rows if found is None else found.unionAll(rows)
-    return found.distinct()
+    return matched(files, rules.EXPORTS).select("path", "name").distinct()
 
 
 def export_samples(files: DataFrame, most: int = 20, samples: int = 10) -> DataFrame:

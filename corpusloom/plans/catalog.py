@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import docstrings, documents, files, graph, modules, navigation, projects, snapshot, translation
+from ..operators import delta, docstrings, documents, files, graph, merkle, modules, navigation, projects, snapshot, translation
 from ..sources import sinks, tree
 from ..sources.fixtures import duck, fixture
 from ..streaming.changes import batch_changes
@@ -296,6 +296,96 @@ def graph_counts(spark, d):
     return graph.resolve(graph.imports(rows), rows).agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src").alias("n_importers"), F.count_distinct("dst").alias("n_imported"))
 
 
+def written_out(language_patterns: str) -> str:
+    """Lines of a language and a pattern, as SQL that applies them to ``polyglot``."""
+    lines = [line.strip().split(" ", 1) for line in language_patterns.strip().splitlines()]
+    return " UNION ".join(f"SELECT path, '{language}' AS language, unnest(regexp_extract_all(content, '{pattern.replace(chr(39), chr(39) * 2)}', 1)) AS name FROM polyglot WHERE doc_id % 8 = {POLYGLOT[language]}" for language, pattern in lines)
+
+
+POLYGLOT = {"javascript": 0, "python": 1, "go": 2, "rust": 3, "java": 4, "ruby": 5, "php": 6, "dotnet": 7}
+ALL_IMPORTS = written_out(r"""
+    javascript (?:import|export)\s+(?s:.)*?\s+from\s+['"](\.[^'"]+)['"]
+    javascript (?:import|export)\s+['"](\.[^'"]+)['"]
+    javascript require\s*\(\s*['"](\.[^'"]+)['"]\s*\)
+    javascript import\s*\(\s*['"](\.[^'"]+)['"]\s*\)
+    python (?m)^\s*from\s+(\.\S+)\s+import
+    python (?m)^\s*import\s+(\.[^\s,]+)
+    go import\s+"([^"]+)"
+    rust \bmod\s+(\w+)
+    java (?m)^\s*import\s+([\w.]+)
+    ruby \brequire\s+['"]([^'"]+)['"]
+    ruby \brequire_relative\s+['"]([^'"]+)['"]
+    php \buse\s+([\w\\]+)
+    php \brequire(?:_once)?\s+['"]([^'"]+)['"]
+    php \binclude(?:_once)?\s+['"]([^'"]+)['"]
+    dotnet (?m)^\s*using\s+([\w.]+)
+""")
+ALL_EXPORTS = written_out(r"""
+    javascript \bexport\s+(?:default\s+)?(?:class|function|const|interface|type)\s+(\w+)
+    javascript \bexport\s*\{\s*([^}]+)\s*\}
+    javascript \bmodule\.exports\s*=\s*\{([^}]+)\}
+    python \bdef\s+(\w+)\s*\(
+    python \bclass\s+(\w+)\s*[(:]
+    go \bfunc\s+(\w+)\s*\(
+    go \bfunc\s+\([^)]+\)\s+(\w+)\s*\(
+    go \btype\s+(\w+)\s+(?:struct|interface|func)
+    rust \b(?:pub\s+)?(?:fn|struct|enum|trait|impl)\s+(\w+)
+    rust \b(?:pub\s+)?const\s+(\w+)
+    java \b(?:public|protected)\s+(?:class|interface|enum)\s+(\w+)
+    java \b(?:public|protected)\s+(?:static\s+)?(?:final\s+)?\w+\s+(\w+)\s*\(
+    ruby \bdef\s+(?:self\.)?(\w+)
+    ruby \bclass\s+(\w+)
+    php \b(?:public|private|protected)\s+(?:static\s+)?function\s+(\w+)\s*\(
+    php \bclass\s+(\w+)
+    php \binterface\s+(\w+)
+    dotnet \b(?:public|internal)\s+(?:class|interface|struct|enum)\s+(\w+)
+    dotnet \b(?:public|internal)\s+(?:static\s+)?(?:readonly\s+)?(?:virtual\s+)?(?:async\s+)?(?:Task<)?(\w+)>?\s+\w+\s*\(
+""")
+
+
+@query(duck("polyglot") + f" SELECT DISTINCT path, language, name AS specifier FROM ({ALL_IMPORTS})")
+def all_language_imports(spark, d):
+    return graph.imports(fixture(spark, d, "polyglot"))
+
+
+@query(duck("polyglot") + f" SELECT DISTINCT path, name FROM ({ALL_EXPORTS})")
+def all_language_exports(spark, d):
+    return modules.exports(fixture(spark, d, "polyglot"))
+
+
+def two_trees(spark: SparkSession, d: str, name: str, path: str, was: str, now: str) -> tuple[DataFrame, DataFrame]:
+    """An earlier and a later state of a derived table: rows came, went and changed."""
+    rows = fixture(spark, d, name)
+    older = F.when(F.col("doc_id") % 7 == 0, F.replace("content", F.lit(was), F.lit(now))).otherwise(F.col("content"))
+    return rows.where("doc_id % 10 <> 0").select(path, older.alias("content")), rows.where("doc_id % 11 <> 0").select(path, "content")
+
+
+def changed_parts(old: DataFrame, new: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changed rows with content, paths that came, paths that went)."""
+    names = lambda t: t.select(F.col(path).alias("path"), "content")
+    told = snapshot.diff(snapshot.snapshot(names(new)), snapshot.snapshot(names(old)))
+    of = lambda *status: told.where(F.col("status").isin(*status)).select(F.col("path").alias(path))
+    return new.join(of("added", "modified"), path, "left_semi"), of("added"), of("deleted")
+
+
+@query(duck("code_files") + ", code_new AS (SELECT path, content FROM code_files WHERE doc_id % 11 <> 0)" + RESOLVED.replace("code_files", "code_new") + "SELECT DISTINCT src, dst FROM e")
+def build_deps_delta(spark, d):
+    """The import graph of the earlier tree, brought up to the later one by its changes."""
+    old, new = two_trees(spark, d, "code_files", "path", "f1", "f2")
+    state, _ = delta.deps_delta(delta.deps(old), *changed_parts(old, new, "path"), new.select("path"))
+    return state.edges.select("src", "dst")
+
+
+@query(duck("snap_old", "snap_new") + f",{DIFF} SELECT path, status, hash FROM d WHERE status <> 'unchanged'")
+def merkle_diff(spark, d):
+    return merkle.diff(*(snapshot.snapshot(fixture(spark, d, n)) for n in ("snap_new", "snap_old")))
+
+
+@query(duck("snap_old", "snap_new") + f",{DIFF} SELECT dir, count(*) AS n_changed FROM (SELECT unnest(['', 'src', regexp_replace(path, '/[^/]*$', '')]) AS dir FROM d WHERE status <> 'unchanged') q GROUP BY dir")
+def changed_subtrees(spark, d):
+    return merkle.subtree_counts(*(snapshot.snapshot(fixture(spark, d, n)) for n in ("snap_new", "snap_old")))
+
+
 @query(duck("import_edges") + " SELECT dst, count(DISTINCT src) AS n_importers FROM import_edges GROUP BY dst")
 def imported_by(spark, d):
     return graph.imported_by(fixture(spark, d, "import_edges"))
@@ -330,6 +420,15 @@ REFS = """rf AS (SELECT DISTINCT doc_path, regexp_extract(m, '\\]\\((?:\\.\\.?)?
  FROM (SELECT doc_path, unnest(regexp_extract_all(content, '\\[[^\\]]*\\]\\((?:\\.\\.?)?/(?:src|lib|app|packages)/[^)]+\\)')) AS m FROM md_docs))"""
 
 
+@query(duck("md_docs") + ", md_new AS (SELECT * FROM md_docs WHERE doc_id % 11 <> 0), " + REFS.replace("md_docs", "md_new") + " SELECT DISTINCT doc_path, file AS source_path FROM rf")
+def build_index_delta(spark, d):
+    """The index of the earlier documents, brought up to the later ones by their changes."""
+    old, new = two_trees(spark, d, "md_docs", "doc_path", "/src/core/f1", "/src/core/g1")
+    index = documents.doc_index(documents.source_refs(old))
+    changed, _, gone = changed_parts(old, new, "doc_path")
+    return delta.index_delta(index, changed, gone).applied(index)
+
+
 @query(duck("md_docs") + f", {REFS} SELECT * FROM rf")
 def source_refs(spark, d):
     return documents.source_refs(fixture(spark, d, "md_docs"))

@@ -59,6 +59,19 @@ SELECT doc_id, concat('src/m', CAST(doc_id % 40 AS STRING), '/f', CAST(doc_id AS
     WHEN 0 THEN concat('import { a } from ''./f', CAST(doc_id + 120 AS STRING), ''';', chr(10), 'import ''../m', CAST((doc_id + 3) % 40 AS STRING), '/f', CAST(doc_id + 3 AS STRING), '.js'';', chr(10), 'export const v', CAST(doc_id AS STRING), ' = 1;', chr(10), 'export function go', CAST(doc_id % 10 AS STRING), '() {}', chr(10))
     WHEN 1 THEN concat('from .f', CAST(doc_id + 120 AS STRING), ' import x', chr(10), 'def run', CAST(doc_id % 10 AS STRING), '(a):', chr(10), '    return a', chr(10), 'class K', CAST(doc_id AS STRING), ':', chr(10), '    pass', chr(10))
     ELSE concat('import "fmt"', chr(10), 'func Do', CAST(doc_id % 7 AS STRING), '() {', chr(10), '}', chr(10), 'type T', CAST(doc_id AS STRING), ' struct {', chr(10), '}', chr(10)) END AS content
+FROM {documents}""",
+    "polyglot": """
+SELECT doc_id, concat('src/p', CAST(doc_id % 25 AS STRING), '/f', CAST(doc_id AS STRING), CASE doc_id % 8 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.rs' WHEN 4 THEN '.java' WHEN 5 THEN '.rb' WHEN 6 THEN '.php' ELSE '.cs' END) AS path,
+  concat(CASE doc_id % 8
+    WHEN 0 THEN concat('import { a } from ''./f', CAST(doc_id + 200 AS STRING), ''';', chr(10), 'export * from "./g"', chr(10), 'const q = require( ''../h'' );', chr(10), 'import(''./dyn'')', chr(10), 'export default class C', CAST(doc_id AS STRING), ' {}', chr(10), 'export { x, y }', chr(10), 'module.exports = {z}', chr(10))
+    WHEN 1 THEN concat('from .f', CAST(doc_id + 200 AS STRING), ' import x', chr(10), '  import .g', chr(10), 'def run', CAST(doc_id AS STRING), ' (a):', chr(10), 'class K(B):', chr(10), 'class L:', chr(10))
+    WHEN 2 THEN concat('import "fmt/', CAST(doc_id % 9 AS STRING), '"', chr(10), 'func Do', CAST(doc_id AS STRING), '() {', chr(10), 'func (t *T) M() {}', chr(10), 'type T struct {', chr(10))
+    WHEN 3 THEN concat('mod part', CAST(doc_id % 9 AS STRING), ';', chr(10), 'pub fn run', CAST(doc_id AS STRING), '() {}', chr(10), 'trait Q {}', chr(10), 'pub const K: i32 = 1;', chr(10))
+    WHEN 4 THEN concat('import a.b.C', CAST(doc_id % 9 AS STRING), ';', chr(10), 'public class J', CAST(doc_id AS STRING), ' {', chr(10), '  protected static final List total() {}', chr(10))
+    WHEN 5 THEN concat('require ''json''', chr(10), 'require_relative "./r', CAST(doc_id % 9 AS STRING), '"', chr(10), 'def self.go', CAST(doc_id AS STRING), chr(10), 'class R', chr(10))
+    WHEN 6 THEN concat('use App', chr(92), 'M', CAST(doc_id % 9 AS STRING), ';', chr(10), 'require_once ''p.php'';', chr(10), 'include "q.php";', chr(10), 'private static function f', CAST(doc_id AS STRING), '() {}', chr(10), 'class P {}', chr(10), 'interface I {}', chr(10))
+    ELSE concat('using System.X', CAST(doc_id % 9 AS STRING), ';', chr(10), 'internal struct D', CAST(doc_id AS STRING), ' {', chr(10), 'public async Task<int> Go() {}', chr(10)) END,
+    '// ', coalesce(substring(text, 1, 300), ''), chr(10)) AS content
 FROM {documents}""",
     "project_files": """
 SELECT concat('p', CAST(doc_id % 50 AS STRING)) AS project, CASE doc_id % 9
