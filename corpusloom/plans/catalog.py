@@ -121,9 +121,9 @@ def include_files(spark, d):
     return files.included(fixture(spark, d, "tree"), EXCLUDE).select("path")
 
 
-@query("SELECT DISTINCT unnest([" + listed([*rules.EXCLUDED, *(n for ns in rules.EXCLUDED_BY.values() for n in ns), "own"]) + "]) AS name")
+@query(duck("names") + " SELECT DISTINCT folder AS name, folder IN ('.git', 'target', 'vendor', '__pycache__', 'TestResults', '.gradle', 'htmlcov', 'own') AS excluded FROM names")
 def exclude_set(spark, d):
-    return spark.createDataFrame([(n,) for n in files.excluded_names(("own",))], "name string")
+    return fixture(spark, d, "names").select(F.col("folder").alias("name"), F.col("folder").isin(files.excluded_names(("own",))).alias("excluded")).distinct()
 
 
 @query(duck("tree") + f" SELECT path FROM tree WHERE {LANG} IS NOT NULL")
@@ -168,10 +168,9 @@ def find_docs(spark, d):
     return files.known_docs(fixture(spark, d, "tree"))
 
 
-@query("SELECT unnest(['dist', 'tmp', 'out']) AS name")
+@query(duck("names") + ", l AS (SELECT trim(line) AS line FROM names), f AS (SELECT CASE WHEN line LIKE '%/' THEN left(line, length(line) - 1) WHEN NOT regexp_matches(line, '[*?/.]') THEN line END AS name FROM l WHERE line <> '' AND left(line, 1) NOT IN ('#', '!')) SELECT DISTINCT name FROM f WHERE name IS NOT NULL AND NOT regexp_matches(name, '[*?/]')")
 def gitignore_dirs(spark, d):
-    lines = ["dist/", "tmp", "*.log", "!keep/", "a/b", "x.y", "# note", "", "  out  ", "deep/er/"]
-    return files.gitignore_dirs(spark.createDataFrame([(x,) for x in lines], "line string"))
+    return files.gitignore_dirs(fixture(spark, d, "names").select("line"))
 
 
 # -- modules ----------------------------------------------------------------
@@ -617,15 +616,14 @@ def i18n_sync_memory(spark, d):
     return translation.sync(memory, sources, targets)
 
 
-@query("SELECT * FROM (VALUES ('zh/en/ja', 'zh', CAST(3 AS BIGINT), 'en,ja'), ('en', 'en', 1, ''), (' de /fr', 'de', 2, 'fr')) v(language, first, n, others)")
+@query(duck("names") + " SELECT DISTINCT language, trim(string_split(language, '/')[1]) AS first, CAST(len(string_split(language, '/')) AS BIGINT) AS n, array_to_string(string_split(language, '/')[2:], ',') AS others FROM names")
 def i18n_config(spark, d):
-    return translation.languages(spark.createDataFrame([("zh/en/ja",), ("en",), (" de /fr",)], "language string"))
+    return translation.languages(fixture(spark, d, "names").select("language").distinct())
 
 
-@query("SELECT * FROM (VALUES ('wiki', 'en'), ('wiki_ja', 'ja'), ('wiki_xx', 'en'), ('x/wiki_de', 'de')) v(folder, lang)")
+@query(duck("names") + " SELECT doc_id, wiki AS folder, CASE WHEN regexp_extract(wiki, 'wiki_([a-z]{2})$', 1) IN ('zh', 'en', 'ja', 'ko', 'fr', 'de') THEN right(wiki, 2) ELSE 'en' END AS lang FROM names")
 def infer_lang(spark, d):
-    rows = spark.createDataFrame([("wiki",), ("wiki_ja",), ("wiki_xx",), ("x/wiki_de",)], "folder string")
-    return rows.select("folder", translation.language_of_dir(F.col("folder")).alias("lang"))
+    return fixture(spark, d, "names").select("doc_id", F.col("wiki").alias("folder"), translation.language_of_dir(F.col("wiki")).alias("lang"))
 
 
 # -- navigation -------------------------------------------------------------
@@ -822,20 +820,15 @@ def stream_batch_changes(spark, d):
     return batch_changes(log, snapshot.snapshot(old))[0]
 
 
-ALIAS = "CASE lower(name) " + " ".join(f"WHEN '{a}' THEN '{lang}'" for lang, names in rules.ALIASES.items() for a in (lang, *names)) + " END"
-
-
-@query(f"SELECT name, {ALIAS} AS language FROM (SELECT unnest(['TypeScript', 'py', 'C#', 'go', 'cobol', 'Node.js']) AS name)")
+@query(duck("names") + " SELECT doc_id, alias AS name, CASE lower(alias) WHEN 'typescript' THEN 'javascript' WHEN 'py' THEN 'python' WHEN 'c#' THEN 'dotnet' WHEN 'go' THEN 'go' WHEN 'node.js' THEN 'javascript' WHEN 'asp.net' THEN 'dotnet' WHEN 'rust-lang' THEN 'rust' END AS language FROM names")
 def handler_alias(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("TypeScript", "py", "C#", "go", "cobol", "Node.js")], "name string")
-    return rows.select("name", paths.canonical_language(F.col("name")).alias("language"))
+    return fixture(spark, d, "names").select("doc_id", F.col("alias").alias("name"), paths.canonical_language(F.col("alias")).alias("language"))
 
 
-@query("SELECT * FROM (VALUES ('p', 'zh', 'wiki'), ('p', 'ja', 'wiki_ja'), ('q', 'en', 'wiki')) v(project, lang, folder)")
+@query(duck("names") + " SELECT project, trim(string_split(language, '/')[1]) AS lang, 'wiki' AS folder FROM names WHERE wiki = 'wiki' AND doc_id % 3 <> 2 UNION ALL SELECT project, 'fr', 'wiki_fr' FROM names WHERE doc_id % 3 = 2 AND wiki = 'wiki_fr' UNION ALL SELECT project, ' ' || coalesce(trim(string_split(language, '/')[1]), '') || ' ', 'wiki' FROM names WHERE wiki = 'wiki' AND doc_id % 3 = 2 UNION ALL SELECT project, x, concat('wiki_', x) FROM names, unnest(['en', 'ja']) t(x) WHERE doc_id % 3 = 0 AND wiki = concat('wiki_', x)")
 def available_langs(spark, d):
-    configs = spark.createDataFrame([("p", "zh/en/ja"), ("q", "en/de")], "project string, language string")
-    folders = spark.createDataFrame([("p", "wiki"), ("p", "wiki_ja"), ("q", "wiki"), ("q", "wiki_fr")], "project string, folder string")
-    return translation.available(configs, folders)
+    rows = fixture(spark, d, "names")
+    return translation.available(rows.select("project", "language"), rows.select("project", F.col("wiki").alias("folder")))
 
 
 PAGES = f"""{duck("md_docs")}, {TITLED}, pages AS (SELECT doc_path, title FROM tl WHERE regexp_matches(doc_path, '^modules/[^/]+\\.md$'))"""
@@ -849,10 +842,9 @@ def sidebar_json(spark, d):
 
 @query()
 def walk_files(spark, d):
-    """The tree of this package, hashed."""
-    from pathlib import Path
-
-    rows = tree.read_tree(spark, str(Path(__file__).resolve().parents[1]), exclude="__pycache__")
+    """The files of the documents table, hashed: executors read them through Spark's own
+    reader, on any file system."""
+    rows = tree.from_store(spark, d).where(F.col("path").startswith("documents.parquet"))
     return rows.select("path", snapshot.fingerprint(F.col("content")).alias("hash"))
 
 
@@ -868,10 +860,9 @@ def discover_modules_fallback(spark, d):
     return files.discover(files.included(fixture(spark, d, "tree").where("not path rlike '^(src|lib|app|node_modules)/'"), EXCLUDE))
 
 
-@query("""SELECT * FROM (VALUES ('a', 'en', 'x,y', false), ('b', 'zh', '', true), ('c', 'zh', '', true), ('d', 'fr', '', true), ('e', 'zh', 'z', true)) v(project, language, exclude, use_gitignore)""")
+@query(duck("names") + " SELECT project, CASE WHEN doc_id % 6 IN (0, 3) THEN coalesce(lang, 'en') ELSE 'zh' END AS language, CASE doc_id % 6 WHEN 0 THEN concat('x,', coalesce(source, '')) WHEN 4 THEN coalesce(source, '') ELSE '' END AS exclude, doc_id % 6 <> 0 AS use_gitignore FROM names JOIN documents USING (doc_id)")
 def project_settings(spark, d):
-    rows = [("a", '{"language": "en", "exclude": ["x", "y"], "useGitignore": false}'), ("b", None), ("c", "no json"), ("d", '{"language": "fr", "exclude": "no list", "useGitignore": null}'), ("e", '{"exclude": ["z"]}')]
-    found = files.settings(spark.createDataFrame(rows, "project string, content string"))
+    found = files.settings(fixture(spark, d, "names").select("project", F.col("settings").alias("content")))
     return found.withColumn("exclude", F.array_join("exclude", ","))
 
 

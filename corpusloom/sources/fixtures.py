@@ -72,6 +72,16 @@ SELECT doc_id, concat('src/p', CAST(doc_id % 25 AS STRING), '/f', CAST(doc_id AS
     WHEN 6 THEN concat('use App', chr(92), 'M', CAST(doc_id % 9 AS STRING), ';', chr(10), 'require_once ''p.php'';', chr(10), 'include "q.php";', chr(10), 'private static function f', CAST(doc_id AS STRING), '() {}', chr(10), 'class P {}', chr(10), 'interface I {}', chr(10))
     ELSE concat('using System.X', CAST(doc_id % 9 AS STRING), ';', chr(10), 'internal struct D', CAST(doc_id AS STRING), ' {', chr(10), 'public async Task<int> Go() {}', chr(10)) END,
     '// ', coalesce(substring(text, 1, 300), ''), chr(10)) AS content
+FROM {documents}""",
+    "names": """
+SELECT doc_id,
+  CASE doc_id % 12 WHEN 0 THEN '.git' WHEN 1 THEN 'target' WHEN 2 THEN 'vendor' WHEN 3 THEN '__pycache__' WHEN 4 THEN 'TestResults' WHEN 5 THEN '.gradle' WHEN 6 THEN 'own' WHEN 7 THEN 'targets' WHEN 8 THEN coalesce(source, '') WHEN 9 THEN coalesce(lang, '') WHEN 10 THEN 'htmlcov' ELSE split_part(coalesce(text, ''), ' ', 1) END AS folder,
+  CASE doc_id % 8 WHEN 0 THEN concat(source, '/') WHEN 1 THEN concat('  d', CAST(doc_id AS STRING), ' ') WHEN 2 THEN '*.log' WHEN 3 THEN concat('!keep', CAST(doc_id AS STRING), '/') WHEN 4 THEN concat('a/', source) WHEN 5 THEN concat('# ', source) WHEN 6 THEN concat('deep/', source, '/') ELSE split_part(coalesce(text, ''), ' ', 1) END AS line,
+  CASE doc_id % 3 WHEN 0 THEN concat(coalesce(lang, 'en'), '/en/ja') WHEN 1 THEN coalesce(lang, 'en') ELSE concat(' ', coalesce(lang, 'en'), ' /fr') END AS language,
+  CASE doc_id % 4 WHEN 0 THEN 'wiki' WHEN 1 THEN concat('x/wiki_', coalesce(lang, 'zh')) WHEN 2 THEN 'wiki_de' ELSE concat('wiki_', coalesce(source, 'q')) END AS wiki,
+  CASE doc_id % 8 WHEN 0 THEN 'TypeScript' WHEN 1 THEN 'PY' WHEN 2 THEN 'C#' WHEN 3 THEN 'go' WHEN 4 THEN 'Node.js' WHEN 5 THEN 'asp.net' WHEN 6 THEN coalesce(source, 'cobol') ELSE 'Rust-Lang' END AS alias,
+  concat('p', CAST(doc_id AS STRING)) AS project,
+  CASE doc_id % 6 WHEN 0 THEN concat('{"language": "', coalesce(lang, 'en'), '", "exclude": ["x", "', coalesce(source, ''), '"], "useGitignore": false}') WHEN 1 THEN NULL WHEN 2 THEN split_part(coalesce(text, ''), ' ', 1) WHEN 3 THEN concat('{"language": "', coalesce(lang, 'en'), '", "exclude": "no list", "useGitignore": null}') WHEN 4 THEN concat('{"exclude": ["', coalesce(source, ''), '"]}') ELSE '{"useGitignore": true}' END AS settings
 FROM {documents}""",
     "project_files": """
 SELECT concat('p', CAST(doc_id % 50 AS STRING)) AS project, CASE doc_id % 9
