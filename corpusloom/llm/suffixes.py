@@ -215,7 +215,8 @@ def settle(items: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
     twice = alive.where("whole is not null").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.max("open").alias("open"), F.min(F.struct(*place)).alias("one")).where("c > 1")
     twice = cut(twice)
     partners = twice.where("open").select("one.*")
-    told = alive.join(twice.select("core", "whole", F.lit(True).alias("settled")), ["core", "whole"], "left")
+    # written, so that both readings share one join, of as many rows as items
+    told = cut(alive.join(twice.select("core", "whole", F.lit(True).alias("settled")), ["core", "whole"], "left").select(*place, "open", "settled"))
     return span(told.where("settled")), cut(told.where("open and settled is null").select(*place).unionAll(partners))
 
 
