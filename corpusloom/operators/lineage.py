@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A plan that reads ``df`` from the folder in spark.checkpoint.dir. Where that is
-    unset, a local session takes a temporary folder and any other raises."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder in spark.checkpoint.dir. Where that is unset, a local
+    session takes a temporary folder and any other raises."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A plan that reads ``df`` from the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -76,14 +76,20 @@ def search_index(docs: DataFrame, most: int = 5000) -> DataFrame:
     return docs.select(F.concat(F.lit("/"), "doc_path").alias("path"), name.alias("title"), F.concat(F.lit("/"), F.regexp_replace("doc_path", r"\.md$", ".html")).alias("url"), F.substring(body, 1, most).alias("body"))
 
 
+def excerpt(body: Column, low: Column) -> Column:
+    """The text around a lower-case term's first place in ``body``; empty without one."""
+    at = F.instr(F.lower(body), low)
+    start, end = F.greatest(at - 41, F.lit(0)), F.least(F.length(body), at - 1 + F.length(low) + 60)
+    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(body, start + 1, end - start), F.when(end < F.length(body), "…").otherwise(""))
+    return F.when(at > 0, cut).otherwise("")
+
+
 def search(index: DataFrame, term: str, most: int = 20) -> DataFrame:
     """index(doc_id, title, body) -> the first ``most`` hits, title hits first, with excerpts."""
     low = term.lower()
-    at = F.instr(F.lower("body"), low)
+    found = F.lower("body").contains(low)
     hit = F.lower("title").contains(low)
-    start, end = F.greatest(at - 41, F.lit(0)), F.least(F.length("body"), at - 1 + len(low) + 60)
-    cut = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(F.col("body"), start + 1, end - start), F.when(end < F.length("body"), "…").otherwise(""))
-    rows = index.where(hit | (at > 0)).select("doc_id", "title", hit.alias("title_hit"), F.when(at > 0, cut).otherwise("").alias("excerpt"))
+    rows = index.where(hit | found).select("doc_id", "title", hit.alias("title_hit"), excerpt(F.col("body"), F.lit(low)).alias("excerpt"))
     return rows.orderBy(F.desc("title_hit"), "doc_id").limit(most)
 
 

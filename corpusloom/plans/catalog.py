@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import delta, docstrings, documents, files, graph, merkle, modules, navigation, projects, snapshot, translation
+from ..operators import delta, docstrings, documents, files, graph, lineage, merkle, modules, navigation, postings, projects, reach, snapshot, translation
 from ..sources import sinks, tree
 from ..sources.fixtures import duck, fixture
 from ..streaming.changes import batch_changes
@@ -399,6 +401,33 @@ def transitive_impact(spark, d):
     return graph.impact(fixture(spark, d, "import_edges"), seeds).select("node", "depth", (F.col("depth") == 1).alias("is_direct"))
 
 
+# a change set for every 50 documents; its seed is their longest one
+SETS = "SELECT doc_id // 50 AS set_id, arg_max(doc_id, concat(lpad(CAST(coalesce(n_chars, 0) AS VARCHAR), 12, '0'), lpad(CAST(doc_id AS VARCHAR), 20, '0'))) AS node FROM documents GROUP BY doc_id // 50"
+CHAINED = f"""
+, s AS ({SETS}), ed AS (SELECT DISTINCT src, dst FROM import_edges),
+w AS (SELECT set_id, node, CAST(0 AS BIGINT) AS depth FROM s UNION SELECT w.set_id, ed.src, w.depth + 1 FROM w JOIN ed ON ed.dst = w.node WHERE w.depth < 3),
+m AS (SELECT set_id, node, min(depth) AS depth FROM w GROUP BY set_id, node),
+p AS (SELECT m.set_id, m.node, m.depth, min(q.node) AS parent FROM m LEFT JOIN ed ON ed.src = m.node LEFT JOIN m q ON q.set_id = m.set_id AND q.node = ed.dst AND q.depth = m.depth - 1 GROUP BY m.set_id, m.node, m.depth),
+c AS (SELECT set_id, node, depth, CAST(node AS VARCHAR) AS chain FROM p WHERE depth = 0 UNION ALL SELECT p.set_id, p.node, p.depth, concat(c.chain, ' > ', CAST(p.node AS VARCHAR)) FROM p JOIN c ON c.set_id = p.set_id AND c.node = p.parent AND c.depth = p.depth - 1)
+"""
+
+
+def change_sets(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.groupBy(F.expr("doc_id div 50").alias("set_id")).agg(F.max_by("doc_id", F.struct(F.coalesce("n_chars", F.lit(0)), "doc_id")).alias("node"))
+
+
+@query(duck("import_edges") + CHAINED + "SELECT set_id, node, depth, chain FROM c")
+def impact_chains(spark, d):
+    return reach.chains(reach.impact(fixture(spark, d, "import_edges"), change_sets(spark, d)))
+
+
+@query(duck("import_edges") + CHAINED + "SELECT set_id, count(*) FILTER (depth = 1) AS n_direct, count(*) FILTER (depth > 1) AS n_transitive, max(depth) AS deepest FROM p GROUP BY set_id")
+def impact_of_sets(spark, d):
+    found = reach.impact(fixture(spark, d, "import_edges"), change_sets(spark, d))
+    return found.groupBy("set_id").agg(F.count_if(F.col("depth") == 1).alias("n_direct"), F.count_if(F.col("depth") > 1).alias("n_transitive"), F.max("depth").alias("deepest"))
+
+
 def seed_docs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 97 = 4").select(F.col("doc_id").alias("node"))
 
@@ -665,6 +694,24 @@ def search_topk(spark, d):
     return navigation.search(fixture(spark, d, "search_src"), "the")
 
 
+# every benchmark item asks for a piece of its text, of 2 to 12 characters, in upper case when odd
+TERMS = "SELECT item_id AS term_id, CASE WHEN item_id % 2 = 1 THEN upper(t) ELSE t END AS term FROM (SELECT item_id, substring(text, 3 + CAST(item_id % 31 AS INT), 2 + CAST(item_id % 11 AS INT)) AS t FROM {benchmark}) q"
+ASKED = "r AS (SELECT term_id, doc_id, title, body, lower(term) AS low, contains(lower(title), lower(term)) AS title_hit, instr(lower(body), lower(term)) AS pos FROM terms, search_all WHERE term <> '' AND (contains(lower(title), lower(term)) OR contains(lower(body), lower(term)))), k AS (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY title_hit DESC, doc_id) AS rank, greatest(pos - 41, 0) AS a, least(length(body), pos - 1 + length(low) + 60) AS z FROM r)"
+
+
+def asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The search documents, their postings as a table, and the terms."""
+    spark.read.parquet(f"{d}/benchmark.parquet").createOrReplaceTempView("loom_benchmark")
+    index = fixture(spark, d, "search_all")
+    stored = postings.write(postings.build(index), f"{lineage.shared_folder(spark)}/postings-{uuid.uuid4().hex}")
+    return index, stored, spark.sql(TERMS.replace("{benchmark}", "loom_benchmark"))
+
+
+@query(duck("search_all") + f", terms AS ({TERMS.replace('{benchmark}', 'benchmark')}), {ASKED} SELECT term_id, CAST(rank AS INT) AS rank, doc_id, title, title_hit, CASE WHEN pos > 0 THEN concat(CASE WHEN a > 0 THEN '…' ELSE '' END, substring(body, a + 1, z - a), CASE WHEN z < length(body) THEN '…' ELSE '' END) ELSE '' END AS excerpt FROM k WHERE rank <= 20")
+def search_postings(spark, d):
+    return postings.search(*asked(spark, d))
+
+
 @query("SELECT doc_id, CAST(len(regexp_extract_all(source, '[一-龥]')) * 12 + len(regexp_extract_all(source, '[0-9]')) * 7 + (length(source) - len(regexp_extract_all(source, '[一-龥]')) - len(regexp_extract_all(source, '[0-9]'))) * 6 + 10 AS BIGINT) AS width, concat('`source: ', source, '`') AS badge FROM documents WHERE source IS NOT NULL")
 def badge_text(spark, d):
     rows = spark.read.parquet(f"{d}/documents.parquet").where("source is not null")

@@ -106,6 +106,7 @@ SELECT doc_id, concat('f', CAST(doc_id AS STRING), CASE doc_id % 2 WHEN 0 THEN '
   ELSE concat('def bare', CAST(doc_id AS STRING), '(a):', chr(10), '    return a', chr(10)) END AS content
 FROM {documents}""",
     "search_src": "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, substring(coalesce(text, ''), 1, 5000) AS body FROM {documents}",
+    "search_all": "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, coalesce(text, '') AS body FROM {documents}",
 }
 
 
