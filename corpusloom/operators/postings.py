@@ -1,14 +1,14 @@
 """Substring search over postings of character trigrams, for many terms at once.
 
-A posting holds the documents of one block of 32,768 ids whose title, or body, has a
-trigram: so no list outgrows 64 KB, however common its trigram. Texts are padded with two
-NUL characters, and every position starts a trigram; a term of one or two characters is
-then found by the trigrams that it begins. The table is range-sorted by trigram and block,
-written without dictionaries in Parquet's second format, which delta-codes both the sorted
-trigrams and the ascending ids, and read by ranges of trigrams.
+A posting holds, as bits, which of 64 consecutive ids have a trigram in their title or body:
+rows of one width, however common a trigram. Texts are padded with two NUL characters, and
+every position starts a trigram; a term of one or two characters is then found by the
+trigrams that it begins. The table is range-sorted by trigram and word of ids, written
+without dictionaries in Parquet's second format, which delta-codes the sorted trigrams and
+words, and read by ranges of trigrams. Lists intersect by AND, word by word.
 
 Null titles and bodies hold nothing; null and empty terms find nothing; ids are unique
-(of rows with one id, each may add hits to it); rows without an id are left out.
+(rows that share one are found by what any of them holds); rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from . import navigation
 
-BLOCK_BITS = 15
 #: lists intersected for a term, the shortest ones; longer terms are verified anyway
 LISTS = 8
 #: up to so many trigrams are named in the filter of the read
@@ -32,19 +32,17 @@ def trigrams(text: Column) -> Column:
 
 
 def build(index: DataFrame) -> DataFrame:
-    """index(doc_id, title, body) -> gram, block, in_title, ids, n: ids ascending, within
-    their block."""
+    """index(doc_id long, title, body) -> gram, word, in_title, mask."""
     fields = F.inline(F.array(*(F.struct(F.lit(name == "title").alias("in_title"), F.col(name).alias("text")) for name in ("title", "body"))))
     rows = index.where("doc_id is not null").select("doc_id", fields).where("text <> ''")
     padded = F.concat(F.lower("text"), F.lit("\0\0"))
-    rows = rows.select("in_title", F.shiftright("doc_id", BLOCK_BITS).alias("block"), F.col("doc_id").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("smallint").alias("id"), F.explode(trigrams(padded)).alias("gram"))
-    lists = rows.groupBy("gram", "block", "in_title").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("ids"))
-    return lists.withColumn("n", F.size("ids"))
+    rows = rows.select("in_title", bits.word(F.col("doc_id")).alias("word"), bits.bit(F.col("doc_id")).alias("mask"), F.explode(trigrams(padded)).alias("gram"))
+    return rows.groupBy("gram", "word", "in_title").agg(F.bit_or("mask").alias("mask"))
 
 
 def write(postings: DataFrame, path: str) -> DataFrame:
     """Writes postings range-sorted and delta-coded; the table read again."""
-    ranged = postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
+    ranged = postings.repartitionByRange("gram", "word").sortWithinPartitions("gram", "word")
     ranged.write.mode("overwrite").option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(path)
     return read(postings.sparkSession, path)
 
@@ -60,44 +58,55 @@ def _narrowed(postings: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def candidates(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms(term_id, low) -> term_id, low, doc_id, in_title: every document that may hold
-    the term; some of them may not."""
-    ids = F.explode("ids").alias("id")
-    place = (F.shiftleft("block", BLOCK_BITS) + F.col("id")).alias("doc_id")
+    """terms(term_id, low) -> term_id, doc_id, in_title, in_body: every document that may
+    hold the term, and where; some of them may not."""
     # terms of three characters and more: the documents that all of their rarest lists share
-    wanted = terms.where(F.length("low") >= 3).select("term_id", "low", F.explode(trigrams(F.col("low"))).alias("gram"))
+    wanted = terms.where(F.length("low") >= 3).select("term_id", F.explode(trigrams(F.col("low"))).alias("gram"))
     some = _narrowed(postings, wanted.select("gram").distinct())
-    sizes = some.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum("n").alias("size"))
+    sizes = some.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.sum(F.bit_count("mask")).alias("size"))
     of_term = Window.partitionBy("term_id")
     ranked = wanted.join(sizes, "gram", "left").withColumn("rank", F.row_number().over(of_term.orderBy(F.coalesce("size", F.lit(0)), "gram")))
-    chosen = ranked.where(F.col("rank") <= LISTS).withColumn("n_lists", F.count(F.lit(1)).over(of_term)).select("term_id", "low", "gram", "n_lists")
-    met = some.join(chosen, "gram").groupBy("term_id", "low", "block", "in_title", "n_lists").agg(F.collect_list("ids").alias("lists")).where(F.size("lists") == F.col("n_lists"))
-    shared = F.aggregate(F.slice("lists", 2, LISTS), F.col("lists")[0], F.array_intersect)
-    full = met.select("term_id", "low", "block", "in_title", shared.alias("ids")).select("term_id", "low", "block", "in_title", ids)
+    chosen = ranked.where(F.col("rank") <= LISTS).withColumn("n_lists", F.count(F.lit(1)).over(of_term)).select("term_id", "gram", "n_lists")
+    title, body = F.when(F.col("in_title"), F.col("mask")), F.when(~F.col("in_title"), F.col("mask"))
+    none = F.lit(0).cast("long")
+
+    def shared(mask: Column) -> Column:
+        return F.when(F.count(mask) == F.max("n_lists"), F.bit_and(mask)).otherwise(none)
+
+    full = some.join(chosen, "gram").groupBy("term_id", "word").agg(shared(title).alias("titles"), shared(body).alias("bodies"))
     # shorter ones: the documents of every trigram that begins with the term
     short = terms.where(F.length("low").between(1, 2))
     begun = postings.select("gram").distinct().join(short, F.substring("gram", 1, 1) == F.substring("low", 1, 1)).where(F.startswith("gram", "low"))
-    prefix = postings.join(begun, "gram").select("term_id", "low", "block", "in_title", ids).distinct()
-    return full.unionAll(prefix).select("term_id", "low", place, "in_title")
+    prefix = postings.join(begun, "gram").groupBy("term_id", "word").agg(F.coalesce(F.bit_or(title), none).alias("titles"), F.coalesce(F.bit_or(body), none).alias("bodies"))
+    some_of = bits.members(F.col("word"), F.col("titles").bitwiseOR(F.col("bodies")))
+    at = F.col("doc_id").bitwiseAND(F.lit(63)).cast("int")
+    rows = full.unionAll(prefix).select("term_id", "titles", "bodies", F.explode(some_of).alias("doc_id"))
+    return rows.select("term_id", "doc_id", (F.getbit("titles", at) == 1).alias("in_title"), (F.getbit("bodies", at) == 1).alias("in_body"))
 
 
 def matches(index: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """terms(term_id, term) -> term_id, low, doc_id, title_hit: every document whose title
-    or body holds the term, in any case. Terms of up to three characters are settled by
+    """terms(term_id, term), ids unique -> term_id, doc_id, title_hit: every document whose
+    title or body holds the term, in any case. Terms of up to three characters are settled by
     their trigrams; for others, each document's text meets all of its candidates at once."""
     terms = terms.select("term_id", F.lower("term").alias("low")).where("low <> ''")
-    found = candidates(postings, terms)
     # padding and halves of surrogate pairs look like NUL and ? in a trigram
     sure = (F.length("low") <= 3) & ~F.col("low").rlike("[?\0]")
+    found = candidates(postings, terms).join(terms.withColumn("sure", sure), "term_id")
     slots = terms.count() // TERMS_A_ROW + 1
     slot = F.pmod(F.xxhash64("term_id"), F.lit(slots))
-    asked = found.where(~sure).groupBy("doc_id", slot.alias("slot")).agg(F.collect_list(F.struct("term_id", "low", "in_title")).alias("asked"))
+    asked = found.where("not sure").groupBy("doc_id", slot.alias("slot")).agg(F.collect_list(F.struct("term_id", "low", "in_title", "in_body")).alias("asked"))
     texts = index.select("doc_id", "title", "body").join(asked, "doc_id")
     # the array of one struct binds the lowered texts, which every term would lower again
     lowered = F.array(F.struct(F.lower("title").alias("title"), F.lower("body").alias("body")))
-    kept = F.flatten(F.transform(lowered, lambda t: F.filter("asked", lambda a: F.when(a["in_title"], t["title"].contains(a["low"])).otherwise(t["body"].contains(a["low"])))))
-    verified = texts.select("doc_id", F.inline(kept)).select("term_id", "low", "doc_id", "in_title")
-    return verified.unionAll(found.where(sure)).groupBy("term_id", "low", "doc_id").agg(F.max("in_title").alias("title_hit"))
+
+    def settle(t: Column, a: Column) -> Column:
+        in_title = F.when(a["in_title"], t["title"].contains(a["low"])).otherwise(False)
+        in_body = F.when(a["in_body"], t["body"].contains(a["low"])).otherwise(False)
+        return F.struct(a["term_id"].alias("term_id"), in_title.alias("title_hit"), in_body.alias("body_hit"))
+
+    settled = F.flatten(F.transform(lowered, lambda t: F.transform("asked", lambda a: settle(t, a))))
+    verified = texts.select("doc_id", F.inline(settled)).where("title_hit or body_hit").select("term_id", "doc_id", "title_hit")
+    return verified.unionAll(found.where("sure").select("term_id", "doc_id", F.col("in_title").alias("title_hit")))
 
 
 def search(index: DataFrame, postings: DataFrame, terms: DataFrame, most: int = 20) -> DataFrame:
@@ -105,4 +114,5 @@ def search(index: DataFrame, postings: DataFrame, terms: DataFrame, most: int =
     title, title_hit, excerpt."""
     order = Window.partitionBy("term_id").orderBy(F.desc("title_hit"), "doc_id")
     top = matches(index, postings, terms).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    top = top.join(terms.select("term_id", F.lower("term").alias("low")), "term_id")
     return index.select("doc_id", "title", "body").join(top, "doc_id").select("term_id", "rank", "doc_id", "title", "title_hit", navigation.excerpt(F.col("body"), F.col("low")).alias("excerpt"))

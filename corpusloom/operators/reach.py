@@ -10,22 +10,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bits
 from .lineage import cut
 
 
-def _members(word: Column, mask: Column) -> Column:
-    """The numbers of the sets whose bits are on in a mask."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(mask, b) == 1)
-    return F.transform(bits, lambda b: word * 64 + b)
-
-
-def _front(sets: Column) -> tuple[Column, Column]:
-    return F.floor(sets / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(sets, F.lit(64)).cast("int")).alias("mask")
-
-
 def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     """edges(src, dst), seeds(set_id long, node) -> set_id, node, depth, parent: for every
     set, the nodes from which a seed is reached in at most ``depth`` steps along edges, seeds
@@ -37,14 +28,14 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
         raise ValueError("depth must be a whole number")
     seeds = seeds.select(F.col("set_id").cast("long").alias("set_id"), "node").where("set_id is not null and node is not null").distinct()
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    front = seen = cut(seeds.select("node", *_front(F.col("set_id"))).groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
+    front = seen = cut(seeds.select("node", bits.word(F.col("set_id")).alias("word"), bits.bit(F.col("set_id")).alias("mask")).groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
     levels = [seeds.select("set_id", "node", F.lit(0).cast("long").alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent"))]
     for level in range(1, depth + 1):
         step = front.join(edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "word", "mask", F.col("dst").alias("parent"))
         known = seen.select("node", "word", F.col("mask").alias("known"))
         new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
         step = cut(step.join(known, ["node", "word"], "left").select("node", "word", new.alias("mask"), "parent").where("mask <> 0"))
-        reached = step.select("node", F.explode(_members(F.col("word"), F.col("mask"))).alias("set_id"), "parent")
+        reached = step.select("node", F.explode(bits.members(F.col("word"), F.col("mask"))).alias("set_id"), "parent")
         levels.append(reached.groupBy("set_id", "node").agg(F.min("parent").alias("parent")).select("set_id", "node", F.lit(level).cast("long").alias("depth"), "parent"))
         if level < depth:
             front = cut(step.groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
