@@ -40,11 +40,15 @@ def included(files: DataFrame, names: list[str]) -> DataFrame:
     return files.where(~is_excluded(path, names) & (is_code(path) | is_doc(path)))
 
 
-def known_docs(files: DataFrame) -> DataFrame:
+def is_known_doc(path: Column) -> Column:
     """Well-known documents: root files by name, and Markdown directly under docs/."""
     # fixed values: root file names
     names = ("README.md", "README.zh.md", "CONTRIBUTING.md", "CHANGELOG.md", "ARCHITECTURE.md", "LICENSE", "docs.md", "API.md", "SECURITY.md", "CODE_OF_CONDUCT.md", "DEVELOPMENT.md", "ROADMAP.md")
-    return files.where(F.col("path").isin(*names) | F.col("path").rlike(r"^docs/[^/]+\.md$")).select("path")
+    return path.isin(*names) | path.rlike(r"^docs/[^/]+\.md$")
+
+
+def known_docs(files: DataFrame) -> DataFrame:
+    return files.where(is_known_doc(F.col("path"))).select("path")
 
 
 def modules(files: DataFrame) -> DataFrame:

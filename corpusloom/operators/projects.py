@@ -8,10 +8,11 @@ own rules are tried on it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .files import is_code, is_excluded, is_known_doc
 
 # Language, file, pattern, kind, value.
 SHOWS = (
@@ -131,8 +132,47 @@ def monorepo(files: DataFrame) -> DataFrame:
     return _named(files, rule).where((F.col("pattern") == "") | F.expr("content rlike pattern")).select("project", "tool").distinct()
 
 
-def entry_points(files: DataFrame) -> DataFrame:
-    test = F.col("path").isin(*ENTRIES)
+def is_entry(path: Column, content: Column) -> Column:
+    test = path.isin(*ENTRIES)
     for ending, mark in MARKS:
-        test = test | (F.col("path").endswith(ending) & F.col("content").rlike(mark))
-    return files.where(test).select("project", "path").distinct()
+        test = test | (path.endswith(ending) & content.rlike(mark))
+    return test
+
+
+def entry_points(files: DataFrame) -> DataFrame:
+    return files.where(is_entry(F.col("path"), F.col("content"))).select("project", "path").distinct()
+
+
+def structure(files: DataFrame, excluded: list[str]) -> DataFrame:
+    """files(project, path, content) -> a project's whole analysis in a row: projectName,
+    projectType, entryPoints, modules, docsFound, stats.
+
+    A file tells in one pass what it counts as; equal findings are added up by project and
+    value before a project's lists are made, which hold distinct names only. Projects
+    without modules under a source root take their visible root folders. Rows without a
+    project count for none; null contents match no mark."""
+    path, own = F.col("path"), ~is_excluded(F.col("path"), excluded)
+    code, roots = own & is_code(path), "|".join(rules.SOURCE_ROOTS)
+    below = lambda pattern: F.when(code, F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")))
+    marks = {
+        "file": F.when(code, F.lit("")),
+        "module": below(f"^((?:{roots})/[^/]+)/"),
+        "folder": below("^([^./][^/]*)/"),
+        "doc": F.when(is_known_doc(path), path),
+        "entry": F.when(own & is_entry(path, F.col("content")), path),
+    }
+    told = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in marks.items())))
+    found = files.where("project is not null").select("project", told.alias("told")).select("project", "told.*").where("value is not null")
+    found = found.groupBy("project", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    named = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
+    counted = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(F.col("value").alias("path"), F.substring_index("value", "/", -1).alias("name"), F.col("n").alias("files")))))
+    lists = found.groupBy("project").agg(
+        F.coalesce(F.sum(F.when(F.col("kind") == "file", F.col("n"))), F.lit(0)).alias("files"),
+        counted("module").alias("modules"), counted("folder").alias("folders"), named("doc").alias("docs"), named("entry").alias("entries"),
+    )
+    kinds = types(files).groupBy("project").agg(F.array_sort(F.collect_set("value")).alias("types"))
+    every = files.where("project is not null").select("project").distinct().join(lists, "project", "left").join(kinds, "project", "left")
+    filled = lambda name: F.coalesce(name, F.from_json(F.lit("[]"), every.schema[name].dataType))
+    every = every.withColumn("modules", F.when(F.size(filled("modules")) > 0, F.col("modules")).otherwise(filled("folders")))
+    stats = F.struct(F.coalesce("files", F.lit(0)).alias("totalFiles"), F.size("modules").cast("long").alias("totalModules"), F.size(filled("docs")).cast("long").alias("totalDocs"))
+    return every.select(F.col("project").alias("projectName"), filled("types").alias("projectType"), filled("entries").alias("entryPoints"), "modules", filled("docs").alias("docsFound"), stats.alias("stats"))

@@ -743,6 +743,19 @@ de AS (SELECT DISTINCT doc_path FROM pairs WHERE source_path IN (SELECT path FRO
 FULL_PLAN = duck("snap_old", "snap_new") + f",{DIFF},{PLAN},{STAGES} "
 
 
+def new_root(spark: SparkSession) -> str:
+    """A folder for files that a query writes, next to the checkpoints."""
+    return f"{lineage.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query(duck("md_docs") + CLEAN + "SELECT doc_path, content FROM k3 WHERE n_replaced > 0")
+def rewritten_docs(spark, d):
+    """The documents that sanitising rewrites, as files; read again from there."""
+    root = new_root(spark)
+    sinks.rewrite(cleaned(spark, d), root)
+    return tree.from_store(spark, root).select(F.col("path").alias("doc_path"), F.col("text").alias("content"))
+
+
 def planned(spark: SparkSession, d: str) -> incremental.Plan:
     spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("loom_documents")
     part = lambda name: spark.sql("WITH " + PLAN.replace("FROM documents", "FROM loom_documents").replace("JOIN documents", "JOIN loom_documents") + f" SELECT * FROM {name}")
@@ -800,6 +813,38 @@ project_query(
     "project_types", projects.types,
     f" SELECT DISTINCT project, {OF} AS language, string_split(k, ':')[1] AS kind, string_split(k, ':')[2] AS value FROM (SELECT project, path, unnest(CASE path WHEN 'package.json' THEN ['type:nodejs', 'framework:react', 'type:vite'] WHEN 'pyproject.toml' THEN ['type:python', 'framework:fastapi', 'framework:django'] WHEN 'go.mod' THEN ['type:go', 'manager:go-modules', 'framework:gin'] WHEN 'Cargo.toml' THEN ['type:rust', 'manager:cargo', 'framework:tokio'] WHEN 'app.csproj' THEN ['framework:asp.net-core-web'] ELSE [] END) AS k FROM project_files)",
 )
+# files of the trees and the root files of each project, and what they count as
+WHOLE = "whole AS (SELECT project, path, content FROM project_files UNION ALL SELECT concat('p', CAST(doc_id % 50 AS STRING)) AS project, path, content FROM tree)"
+FOUND = (
+    f", {WHOLE}, own AS (SELECT project, path, {IS_CODE} AND NOT ({HAS_EXCLUDED}) AS code FROM whole), "
+    f"md AS (SELECT project, regexp_extract(path, '^(({ROOTS})/[^/]+)/', 1) AS m, count(*) AS n FROM own WHERE code GROUP BY 1, 2 HAVING m <> ''), "
+    "fo AS (SELECT project, regexp_extract(path, '^([^./][^/]*)/', 1) AS m, count(*) AS n FROM own WHERE code AND project NOT IN (SELECT project FROM md) GROUP BY 1, 2 HAVING m <> ''), "
+    "mo AS (SELECT project, string_agg(concat(m, '=', n), ',' ORDER BY m) AS modules, count(*) AS n_modules FROM (SELECT * FROM md UNION ALL SELECT * FROM fo) q GROUP BY project), "
+    "fi AS (SELECT project, count(*) FILTER (code) AS n_files FROM own GROUP BY project), "
+    "dc AS (SELECT project, string_agg(DISTINCT path, ',' ORDER BY path) AS docs FROM whole WHERE path = 'README.md' OR regexp_matches(path, '^docs/[^/]+\\.md$') GROUP BY project), "
+    "en AS (SELECT project, string_agg(DISTINCT path, ',' ORDER BY path) AS entries FROM whole WHERE path = 'src/main.go' OR (path = 'cmd/x.go' AND contains(content, 'func main()')) GROUP BY project), "
+    "ty AS (SELECT project, string_agg(DISTINCT value, ',' ORDER BY value) AS types FROM (" + ORACLES["project_types"].removeprefix(duck("project_files")) + ") q GROUP BY project) "
+)
+
+
+@query(
+    duck("project_files", "tree") + FOUND + "SELECT project, coalesce(types, '') AS types, coalesce(entries, '') AS entries, coalesce(modules, '') AS modules, coalesce(docs, '') AS docs, n_files, coalesce(n_modules, 0) AS n_modules FROM fi LEFT JOIN ty USING (project) LEFT JOIN en USING (project) LEFT JOIN mo USING (project) LEFT JOIN dc USING (project)"
+)
+def project_structure(spark, d):
+    """structure.json of every project, written as files and read again."""
+    project_files, whole = fixture(spark, d, "project_files"), fixture(spark, d, "tree")
+    whole = project_files.unionByName(whole.select(F.concat(F.lit("p"), (F.col("doc_id") % 50).cast("string")).alias("project"), "path", "content"))
+    rows, root = projects.structure(whole, EXCLUDE), new_root(spark)
+    sinks.save_json(rows.withColumn("path", F.concat("projectName", F.lit("/structure.json"))), "path", root)
+    got = tree.from_store(spark, root).select(F.from_json("text", rows.schema).alias("j")).select("j.*")
+    listed = F.transform("modules", lambda m: F.concat_ws("=", m["path"], m["files"].cast("string")))
+    text = lambda c: F.array_join(c, ",")
+    return got.select(
+        F.col("projectName").alias("project"), text("projectType").alias("types"), text("entryPoints").alias("entries"), text(listed).alias("modules"), text("docsFound").alias("docs"),
+        F.col("stats.totalFiles").alias("n_files"), F.col("stats.totalModules").alias("n_modules"),
+    )
+
+
 RUNTIME = case("path", package__json="Node.js", pyproject__toml="Python", go__mod="Go", Cargo__toml="Rust", app__csproj=".NET")
 VERSION = case("path", package__json=">=18", pyproject__toml="3.11", go__mod="1.21", Cargo__toml="1.70", app__csproj="net8.0")
 project_query("runtime_versions", projects.versions, f" SELECT DISTINCT project, {RUNTIME} AS runtime, {VERSION} AS version FROM project_files WHERE {RUNTIME} IS NOT NULL")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .writer import write_files
+
 
 def save(df: DataFrame, path: str) -> None:
     """A derived table in the store: Parquet, replaced as a whole."""
@@ -29,6 +31,17 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("json"))
 
 
+def save_json(df: DataFrame, path: str, root: str) -> int:
+    """A pretty JSON file a row, at the path that column ``path`` holds, which is not part of it."""
+    cells = F.struct(*(c for c in df.columns if c != path))
+    return write_files(df.select(F.col(path).alias("path"), F.to_json(cells, {"pretty": "true"}).alias("text")), root)
+
+
+def rewrite(docs: DataFrame, root: str) -> int:
+    """docs(doc_path, content, n_replaced): writes those with a replacement, and no others."""
+    return write_files(docs.where("n_replaced > 0").select(F.col("doc_path").alias("path"), F.col("content").alias("text")), root)
+
+
 def audit_report(levels: DataFrame, issues: DataFrame) -> DataFrame:
     """doc_path, json: a document's report with its issues."""
     found = issues.groupBy("doc_path").agg(F.array_sort(F.collect_list("issue")).alias("issues"))
