@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,11 @@ def cut(df: DataFrame) -> DataFrame:
     """A plan that reads ``df`` from the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder. Unlike a checkpoint, which keeps what the
+    planner had inferred of its columns, it brings nothing along: for loops of many rounds."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, rules
-from ..operators import delta, docstrings, documents, files, graph, lineage, merkle, modules, navigation, postings, projects, reach, snapshot, translation
+from ..operators import condense, delta, docstrings, documents, files, graph, lineage, merkle, modules, navigation, postings, projects, reach, snapshot, translation
 from ..sources import sinks, tree
 from ..sources.fixtures import duck, fixture
 from ..streaming.changes import batch_changes
@@ -442,6 +442,23 @@ def doc_closure(spark, d):
     return graph.closure(fixture(spark, d, "doc_edges"), seed_docs(spark, d))
 
 
+@query(
+    duck("ring_edges") + ", w AS (SELECT DISTINCT src AS a, src AS b FROM ring_edges UNION SELECT w.a, e.dst FROM w JOIN ring_edges e ON e.src = w.b), c AS (SELECT x.a AS node, min(x.b) AS comp, count(*) AS n_nodes FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a) SELECT * FROM c WHERE n_nodes > 1"
+)
+def doc_cycles(spark, d):
+    """Documents that link to each other in a circle, with its first document and its size."""
+    found = condense.components(fixture(spark, d, "ring_edges"))
+    size = found.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("n_nodes"))
+    nodes = found.unionAll(found.select(F.col("comp").alias("node"), "comp").distinct())
+    return nodes.join(size, "comp").select("node", "comp", "n_nodes")
+
+
+@query(duck("ring_edges") + f", s AS ({SETS}), w AS (SELECT set_id, node FROM s UNION SELECT w.set_id, e.src FROM w JOIN ring_edges e ON e.dst = w.node) SELECT set_id, node FROM w")
+def doc_closures(spark, d):
+    """All documents that reach a change set, for every set, from one index."""
+    return condense.closures(condense.condense(fixture(spark, d, "ring_edges")), change_sets(spark, d))
+
+
 # -- documents --------------------------------------------------------------
 
 REFS = """rf AS (SELECT DISTINCT doc_path, regexp_extract(m, '\\]\\((?:\\.\\.?)?/((?:src|lib|app|packages)/[^)#]+)', 1) AS file, try_cast(regexp_extract(m, '#L(\\d+)', 1) AS INT) AS line_start, try_cast(regexp_extract(m, '-L(\\d+)', 1) AS INT) AS line_end

@@ -51,6 +51,8 @@ SELECT doc_id, concat('intro', chr(10), '```mermaid', chr(10), 'flowchart TD', c
 FROM {documents}""",
     "import_edges": "SELECT DISTINCT doc_id + 1 + k AS src, doc_id AS dst FROM {documents} CROSS JOIN (SELECT CAST(0 AS BIGINT) AS k UNION ALL SELECT CAST(3 AS BIGINT) AS k) q WHERE doc_id % 4 <> 3",
     "doc_edges": "SELECT doc_id AS src, doc_id + 1 AS dst FROM {documents} WHERE doc_id % 5 <> 0",
+    # circles of four, each leading to the next but one block's end, and longer circles over some blocks
+    "ring_edges": "SELECT doc_id AS src, doc_id + q.step AS dst FROM {documents} JOIN (SELECT CAST(1 AS BIGINT) AS step UNION ALL SELECT CAST(-3 AS BIGINT) AS step UNION ALL SELECT CAST(-12 AS BIGINT) AS step) q ON CASE q.step WHEN 1 THEN doc_id % 5 <> 0 OR doc_id % 10 = 0 WHEN -3 THEN doc_id % 5 = 4 ELSE doc_id % 60 = 13 OR n_chars % 50 = 7 END",
     "i18n_src": "SELECT q.lang AS lang, concat('doc', CAST(doc_id AS STRING), '.md') AS file, coalesce(text, '') AS content, CASE WHEN doc_id % 5 <> 0 THEN 1 ELSE 0 END AS has_target, CASE WHEN doc_id % 6 <> 0 THEN 1 ELSE 0 END AS mem_current FROM {documents} CROSS JOIN (SELECT 'en' AS lang UNION ALL SELECT 'ja' AS lang) q",
     "module_base": "SELECT concat(CASE doc_id % 6 WHEN 0 THEN 'api-' WHEN 1 THEN 'user.' WHEN 2 THEN 'core' WHEN 3 THEN 'testkit' WHEN 4 THEN 'cache/' ELSE 'm' END, source) AS module, doc_id, coalesce(text, '') AS text FROM {documents}",
     "code_files": """
