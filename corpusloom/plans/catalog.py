@@ -953,7 +953,7 @@ def sidebar_json(spark, d):
 def walk_files(spark, d):
     """The files of the documents table, hashed: executors read them through Spark's own
     reader, on any file system."""
-    rows = tree.from_store(spark, d).where(F.col("path").startswith("documents.parquet"))
+    rows = tree.from_store(spark, d, "documents.parquet")
     return rows.select("path", snapshot.fingerprint(F.col("content")).alias("hash"))
 
 

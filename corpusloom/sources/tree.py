@@ -82,8 +82,10 @@ def read_tree(spark: SparkSession, root: str, **options: str) -> DataFrame:
     return spark.read.format("corpus").options(path=root, **options).load()
 
 
-def from_store(spark: SparkSession, root: str) -> DataFrame:
-    """path, content, text of all files below ``root`` on any file system Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def from_store(spark: SparkSession, root: str, below: str = "") -> DataFrame:
+    """path, content, text of all files below ``root`` on any file system Spark reads; with
+    ``below``, of that file or folder of it only. A filter on path would not do: it comes
+    after the reading. A file is read whole by one task."""
     base = root.rstrip("/") + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base + below if below else root)
     return files.select(F.regexp_replace("path", r"^.*?\Q" + base.split(":", 1)[-1].lstrip("/") + r"\E", "").alias("path"), "content", F.decode("content", "UTF-8").alias("text"))

@@ -1,5 +1,6 @@
 """Hand-made vectors and properties of the operators."""
 
+import hashlib
 import base64
 import json
 
@@ -205,6 +206,37 @@ def test_tree_source(spark, tmp_path):
     assert {r.path for r in tree.read_tree(spark, str(tmp_path), extensions=".md", content="false").collect()} == {"src/_index.md"}
 
 
+def test_store_reads_only_what_is_below(spark, tmp_path):
+    """Files beside the wanted ones are not read, however large; a single file is found too."""
+    for name, text in (("docs/a.md", "a"), ("docs/deep/b.md", "b"), ("docs2/c.md", "c"), ("other.bin", "x" * 5000)):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    most = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(most, 1000)
+    try:
+        found = lambda below: {r.path: r.text for r in tree.from_store(spark, str(tmp_path), below).collect()}
+        assert found("docs") == {"docs/a.md": "a", "docs/deep/b.md": "b"}
+        assert found("docs/a.md") == {"docs/a.md": "a"}
+    finally:
+        spark.conf.unset(most)
+    assert len(tree.from_store(spark, str(tmp_path)).collect()) == 4
+
+
+def test_walk_files_reads_documents_only(spark, tmp_path):
+    from corpusloom import registry
+
+    for name in ("documents.parquet/part-0.parquet", "documents.parquet/part-1.parquet", "lineitem.parquet"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * (1 if "part" in name else 500))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        rows = registry.QUERIES["walk_files"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    names = ["documents.parquet/part-0.parquet", "documents.parquet/part-1.parquet"]
+    assert sorted(map(tuple, rows)) == [(n, hashlib.sha256(n.encode()).hexdigest()[:16]) for n in names]
+
+
 def test_stream(spark, tmp_path):
     log, seen = tmp_path / "log", []
     log.mkdir()
