@@ -7,7 +7,9 @@ reaches it as its colour, and those that reach the node their colour names are a
 A component lies within a colour, so only edges within colours are met again.
 
 All loops are joins of a changed front with the edges, and every front is a table in
-the shared folder; their number follows the longest shortest path, not the rows.
+the shared folder; their number follows the longest shortest path, not the rows. Left to
+itself the planner broadcasts a table of up to 10 MB of files in every round, all through the
+driver; here only fronts of a bounded number of rows are, and other joins deal out both sides.
 """
 
 from __future__ import annotations
@@ -22,6 +24,19 @@ from .lineage import stored
 
 # trimming goes on while a round takes away so much of the edges; colouring does the rest
 PACE = 0.1
+# a front of up to so many rows goes to every task; a larger one is dealt out by its key
+SMALL = 10_000
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    table = stored(df)
+    return table, table.count()
+
+
+def dealt(df: DataFrame, n: int | None = None) -> DataFrame:
+    """``df``, of ``n`` rows if known, as a side of a join that sends no more than a small
+    front through the driver."""
+    return F.broadcast(df) if n is not None and n <= SMALL else df.hint("merge")
 
 
 def trimmed(edges: DataFrame) -> DataFrame:
@@ -29,8 +44,8 @@ def trimmed(edges: DataFrame) -> DataFrame:
     n = edges.count()
     while n:
         ins, outs = edges.select("dst").distinct(), edges.select("src").distinct()
-        edges = stored(edges.join(ins.withColumnRenamed("dst", "src"), "src", "left_semi").join(outs.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
-        before, n = n, edges.count()
+        before = n
+        edges, n = counted(edges.join(dealt(ins.withColumnRenamed("dst", "src")), "src", "left_semi").join(dealt(outs.withColumnRenamed("src", "dst")), "dst", "left_semi").select("src", "dst"))
         if before - n < PACE * before:
             break
     return edges
@@ -38,13 +53,14 @@ def trimmed(edges: DataFrame) -> DataFrame:
 
 def colours(edges: DataFrame) -> DataFrame:
     """node, colour: the least node that reaches a node, itself included."""
-    front = seen = stored(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    front, n = counted(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+    seen = front
     while True:
-        told = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("better"))
-        front = stored(told.join(seen, "node").where("better < colour").select("node", F.col("better").alias("colour")))
-        if front.isEmpty():
+        told = dealt(front, n).join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("better"))
+        front, n = counted(told.join(dealt(seen), "node").where("better < colour").select("node", F.col("better").alias("colour")))
+        if not n:
             return seen
-        seen = stored(seen.join(front.withColumnRenamed("colour", "better"), "node", "left").select("node", F.coalesce("better", "colour").alias("colour")))
+        seen = stored(seen.join(dealt(front.withColumnRenamed("colour", "better"), n), "node", "left").select("node", F.coalesce("better", "colour").alias("colour")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -54,15 +70,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = edges.select(F.col("src").alias("node"), F.col("src").alias("comp")).limit(0)
     while not rest.isEmpty():
         colour = colours(rest)
-        ends = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"of_{end}"))
+        ends = lambda end: dealt(colour.select(F.col("node").alias(end), F.col("colour").alias(f"of_{end}")))
         inner = stored(rest.join(ends("src"), "src").join(ends("dst"), "dst").where("of_src = of_dst").select("src", "dst"))
-        front = found = stored(colour.where("node = colour").select("node", F.col("colour").alias("comp")))
-        while not front.isEmpty():
-            front = stored(front.join(inner, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "comp").distinct().join(found, "node", "left_anti"))
+        front, n = counted(colour.where("node = colour").select("node", F.col("colour").alias("comp")))
+        found = front
+        while n:
+            front, n = counted(dealt(front, n).join(inner, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "comp").distinct().join(dealt(found), "node", "left_anti"))
             found = stored(found.unionAll(front))
         labels = stored(labels.unionAll(found.where("node <> comp")))
         done = found.select("node")
-        rest = trimmed(stored(inner.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")))
+        rest = trimmed(stored(inner.join(dealt(done.withColumnRenamed("node", "src")), "src", "left_anti").join(dealt(done.withColumnRenamed("node", "dst")), "dst", "left_anti").select("src", "dst")))
     return labels
 
 
@@ -76,7 +93,7 @@ class Condensed:
     def head(self, rows: DataFrame, column: str) -> DataFrame:
         """``rows`` with the nodes of ``column`` replaced by their components."""
         comp = self.members.select(F.col("node").alias(column), "comp")
-        return rows.join(comp, column, "left").withColumn(column, F.coalesce("comp", column)).drop("comp")
+        return rows.join(dealt(comp), column, "left").withColumn(column, F.coalesce("comp", column)).drop("comp")
 
 
 def condense(edges: DataFrame) -> Condensed:
@@ -95,16 +112,17 @@ def closures(index: Condensed, seeds: DataFrame) -> DataFrame:
     sets and nodes reach nothing; repeated rows change nothing."""
     wanted = seeds.select(F.col("set_id").cast("long").alias("set_id"), "node").where("set_id is not null and node is not null").distinct()
     start = index.head(wanted, "node").select("node", bits.word(F.col("set_id")).alias("word"), bits.bit(F.col("set_id")).alias("mask"))
-    front = seen = stored(start.groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
+    front, n = counted(start.groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
+    seen = front
     while True:
-        step = front.join(index.edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "word", "mask")
-        known = seen.select("node", "word", F.col("mask").alias("known"))
+        step = dealt(front, n).join(index.edges, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "word", "mask")
+        known = dealt(seen.select("node", "word", F.col("mask").alias("known")))
         new = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long"))))
         step = step.groupBy("node", "word").agg(F.bit_or("mask").alias("mask")).join(known, ["node", "word"], "left")
-        front = stored(step.select("node", "word", new.alias("mask")).where("mask <> 0"))
-        if front.isEmpty():
+        front, n = counted(step.select("node", "word", new.alias("mask")).where("mask <> 0"))
+        if not n:
             break
         seen = stored(seen.unionAll(front).groupBy("node", "word").agg(F.bit_or("mask").alias("mask")))
     inside = index.members.select(F.col("comp").alias("node"), F.col("node").alias("member"))
-    whole = seen.unionAll(seen.join(inside, "node").select(F.col("member").alias("node"), "word", "mask"))
+    whole = seen.unionAll(seen.join(dealt(inside), "node").select(F.col("member").alias("node"), "word", "mask"))
     return whole.select(F.explode(bits.members(F.col("word"), F.col("mask"))).alias("set_id"), "node")

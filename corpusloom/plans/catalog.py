@@ -450,7 +450,7 @@ def doc_cycles(spark, d):
     found = condense.components(fixture(spark, d, "ring_edges"))
     size = found.groupBy("comp").agg((F.count(F.lit(1)) + 1).alias("n_nodes"))
     nodes = found.unionAll(found.select(F.col("comp").alias("node"), "comp").distinct())
-    return nodes.join(size, "comp").select("node", "comp", "n_nodes")
+    return nodes.join(condense.dealt(size), "comp").select("node", "comp", "n_nodes")
 
 
 @query(duck("ring_edges") + f", s AS ({SETS}), w AS (SELECT set_id, node FROM s UNION SELECT w.set_id, e.src FROM w JOIN ring_edges e ON e.dst = w.node) SELECT set_id, node FROM w")

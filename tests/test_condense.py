@@ -57,3 +57,20 @@ def test_one_index_many_uses(spark):
     for seed, found in (("c", "abc"), ("a", "ab"), ("q", "q")):
         assert sorted(r.node for r in condense.closures(index, spark.createDataFrame([(1, seed)], SEEDS)).collect()) == list(found)
     assert condense.closures(index, spark.createDataFrame([], SEEDS)).isEmpty()
+
+
+def test_only_small_fronts_are_broadcast(spark, monkeypatch):
+    """No join of the loops leaves it to the planner to send a table through the driver."""
+    plans, stored = [], condense.stored
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(condense, "stored", watched)
+    monkeypatch.setattr(condense, "SMALL", -1, raising=False)
+    edges = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")]
+    got = condense.closures(condense.condense(spark.createDataFrame(edges, EDGES)), spark.createDataFrame([(1, "c"), (2, "a")], SEEDS))
+    assert sorted(map(tuple, got.collect())) == [(1, n) for n in "abcd"] + [(2, n) for n in "ab"]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in [*plans, got._jdf.queryExecution().executedPlan().toString()])
