@@ -74,3 +74,30 @@ def test_reads_few_ranges(spark, docs, tmp_path):
     stored = postings.write(postings.build(index), str(tmp_path / "p"))
     plan = postings.candidates(stored, spark.createDataFrame([(1, "need")], "term_id long, low string"))._jdf.queryExecution().executedPlan().toString()
     assert "In(gram, [" in plan
+
+
+def test_postings_stay_where_their_texts_are(spark, docs):
+    """Texts are dealt out once by their word of ids; the postings made of them never move."""
+    plan = postings.build(spark.createDataFrame(docs, DOCS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(word" in plan
+
+
+def test_first_hits_verify_first_candidates(spark, monkeypatch, docs):
+    """Few candidates are verified where they settle a term, all where they do not."""
+    monkeypatch.setattr(postings, "AHEAD", 8)
+    seen, hits = [], postings.hits
+
+    def watched(index, found, terms):
+        seen.append({r.term_id: r["count"] for r in found.groupBy("term_id").count().collect()})
+        return hits(index, found, terms)
+
+    monkeypatch.setattr(postings, "hits", watched)
+    rng = random.Random(9)
+    rows = [(2000 + k, rng.choice(["wxyz", "wxy xyz", ""]), rng.choice(["wxyz", "wxy xyz", "other"])) for k in range(400)]
+    # the trigrams of pqrs are in all of these, the string in the last ones only
+    rows += [(1000 + k, "", "pqr qrs" if k < 90 else "pqrs") for k in range(100)] + docs
+    terms = [(1, "wxyz"), (2, "pqrs"), (3, "wx"), (4, "needle"), (5, "")]
+    index = spark.createDataFrame(rows, DOCS)
+    got = postings.search(index, postings.build(index), spark.createDataFrame(terms, TERMS), most=3)
+    assert sorted(map(tuple, got.select("term_id", "rank", "doc_id", "title_hit").collect())) == plain(rows, terms, 3)
+    assert seen[0] == {1: 8, 2: 8, 3: 8, 4: 1} and seen[1][2] == 100 and 3 not in seen[1]
