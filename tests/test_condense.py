@@ -74,3 +74,10 @@ def test_only_small_fronts_are_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(1, n) for n in "abcd"] + [(2, n) for n in "ab"]
     assert any("SortMergeJoin" in p for p in plans)
     assert not any("Broadcast" in p for p in [*plans, got._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_cycle_sizes_are_not_broadcast(spark, small):
+    from corpusloom import registry
+
+    plan = registry.QUERIES["doc_cycles"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
