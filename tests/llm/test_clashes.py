@@ -48,6 +48,15 @@ def test_jaccard_keeps_twins_apart(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
 
 
+def test_jaccard_ids_of_reordered_texts(spark):
+    """Texts with the same words in another order, whose shingle fingerprints have nearly the
+    same sum: 64 pairs, of which plain sums gave several one id."""
+    texts = [f"a{k} b{k} {mid} c{k} d{k}" for k in range(64) for mid in (f"x{k} y{k}", f"y{k} x{k}")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = jaccard.join(rows, jaccard.Rule(3, 90)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(k, 4, k) for k in range(len(texts))]
+
+
 def test_quality_tells_twins_apart(spark):
     x, y = twins()
     rows = spark.createDataFrame([(1, f"{x}\n{y}\n{x}")], "doc_id long, text string")

@@ -164,6 +164,16 @@ def test_large_groups_are_dealt_again(spark, monkeypatch, limit, small):
     assert bag(got) == bag(brute_components(rows, 3, 90))
 
 
+def test_large_groups_of_near_copies_are_tiled(spark, monkeypatch):
+    """Dealing out near copies would repeat each row once for almost every key."""
+    monkeypatch.setattr(jaccard, "GROUP_ROWS", 16)
+    monkeypatch.setattr(jaccard, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(jaccard, "deal_again", None)
+    rows = near_copies(120, 9, 8)
+    got = jaccard.join(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), jaccard.Rule(3, 90)).select("doc_id", "n_shingles", "component_id").collect()
+    assert bag(got) == bag(brute_components(rows, 3, 90))
+
+
 def test_last_round_alone_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_ROUNDS", 1)
     rows = near_copies(150, 9, 6)
